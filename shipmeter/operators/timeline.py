@@ -26,7 +26,8 @@ def draft_time(prs: DataFrame, events: DataFrame, keys=KEYS, chunk: str = "hour"
     keys = list(keys)
     micros = F.unix_micros("created_at")
     chunk_start = F.unix_micros(F.date_trunc(chunk, F.col("created_at")))
-    changes = events.where(F.col("event").isin(READY, DRAFT)).select(
+    wanted = F.col("event").isin(READY, DRAFT) & F.col("created_at").isNotNull()
+    changes = events.where(wanted).select(
         *keys,
         "event_id",
         "event",
