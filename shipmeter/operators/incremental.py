@@ -35,7 +35,9 @@ def fetch_budget(
     """
     if max_new > limit:
         raise ValueError(f"max_new ({max_new}) must not exceed limit ({limit})")
-    rows = candidates.withColumn("_hour", F.date_trunc("hour", F.col("updated_at")))
+    # Rows without an update time come last.
+    hour = F.coalesce(F.date_trunc("hour", F.col("updated_at")), F.timestamp_seconds(F.lit(0)))
+    rows = candidates.withColumn("_hour", hour)
     merged = F.when(F.col("merged"), 1).otherwise(0)
     newer = (
         Window.partitionBy(by).orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +56,7 @@ def fetch_budget(
         .where((F.col("_rows_before") < max_new) & (F.col("_merged_before") < limit))
         .drop("_stored")
     )
-    order = Window.partitionBy(by, "_hour").orderBy(F.desc("updated_at"), id_column)
+    order = Window.partitionBy(by, "_hour").orderBy(F.desc_nulls_last("updated_at"), id_column)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         rows.join(hours, [by, "_hour"])

@@ -52,6 +52,8 @@ def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float]
         .groupBy(*by, "_i", "_start", "n")
         .agg(F.sort_array(F.collect_list("_rank")).alias("_ranks"))
     )
+    if not by:
+        wanted = F.broadcast(wanted)  # one row per cut at most
     inside = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = placed.join(wanted, [*by, "_i"]).withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
     hit = F.filter(
