@@ -146,40 +146,36 @@ def weighted(df: DataFrame, weight: float, column: str = "tfidf") -> DataFrame:
     return df.withColumn(column, F.col(column) * F.lit(weight))
 
 
-def wide_tfidf(ngrams: Column, terms: list[tuple[str, float]], config: TextConfig) -> dict[str, Column]:
-    """Feature columns ``prefix0`` to ``prefix<max_features-1>`` of a fitted vocabulary.
+def with_wide_tfidf(
+    df: DataFrame, terms: list[tuple[str, float]], config: TextConfig, ngrams: str = "ngrams"
+) -> DataFrame:
+    """Add columns ``prefix0`` to ``prefix<max_features-1>`` of a fitted vocabulary.
 
-    Works inside the row: no explode, no shuffle.  Terms are ``(term, idf)`` in
-    position order; positions a vocabulary does not fill are 0.
+    ``terms`` are ``(term, idf)`` in position order; positions it does not fill
+    are 0.  Works inside the row, so scoring needs no explode and no shuffle.
     """
-    if not terms:
-        return {f"{config.prefix}{i}": F.lit(0.0) for i in range(config.max_features)}
-    names = F.array(*[F.lit(t) for t, _ in terms])
+    names = F.array(*[F.lit(t) for t, _ in terms]).cast("array<string>")
+    idfs = F.array(*[F.lit(float(idf)) for _, idf in terms]).cast("array<double>")
     hits = F.filter(F.transform(ngrams, lambda g: F.array_position(names, g)), lambda p: p > 0)
     counts = F.transform(
-        F.sequence(F.lit(1), F.lit(len(terms))),
-        lambda i: F.size(F.filter(hits, lambda p: p == i)),
+        F.sequence(F.lit(1), F.lit(config.max_features)),
+        lambda i: F.size(F.filter("_hits", lambda p: p == i)),
     )
-    idfs = F.array(*[F.lit(float(idf)) for _, idf in terms])
     weights = F.zip_with(
-        counts, idfs, lambda tf, idf: F.when(tf > 0, (1 + F.log(tf)) * idf).otherwise(0.0)
+        "_counts", idfs, lambda tf, idf: F.when(tf > 0, (1 + F.log(tf)) * idf).otherwise(0.0)
     )
-    return {"_weights": weights}
-
-
-def with_wide_tfidf(df: DataFrame, terms: list[tuple[str, float]], config: TextConfig, ngrams: str = "ngrams") -> DataFrame:
-    """Add the weighted TF-IDF columns of a fitted vocabulary to each row."""
-    columns = wide_tfidf(F.col(ngrams), terms, config)
-    if "_weights" not in columns:
-        return df.select("*", *[c.alias(n) for n, c in columns.items()])
-    norm = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda acc, w: acc + w * w))
-    scaled = df.withColumn("_weights", columns["_weights"]).withColumn("_norm", norm)
-
-    def at(i: int) -> Column:
-        if i >= len(terms):
-            return F.lit(0.0)
-        share = F.when(F.col("_norm") > 0, F.col("_weights")[i] / F.col("_norm")).otherwise(0.0)
-        return share * F.lit(config.weight)
-
-    names = [at(i).alias(f"{config.prefix}{i}") for i in range(config.max_features)]
-    return scaled.select("*", *names).drop("_weights", "_norm")
+    norm = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda acc, w: acc + F.coalesce(w * w, F.lit(0.0))))
+    scaled = (
+        df.withColumn("_hits", hits)
+        .withColumn("_counts", counts)
+        .withColumn("_weights", weights)
+        .withColumn("_norm", norm)
+    )
+    columns = [
+        (
+            F.coalesce(F.try_divide(F.get("_weights", F.lit(i)), F.col("_norm")), F.lit(0.0))
+            * F.lit(config.weight)
+        ).alias(f"{config.prefix}{i}")
+        for i in range(config.max_features)
+    ]
+    return scaled.select(*df.columns, *columns)
