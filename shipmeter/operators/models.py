@@ -34,6 +34,7 @@ from shipmeter.operators.textfeatures import (
     CI_TEXT,
     PR_TEXT,
     TextConfig,
+    collect_terms,
     pr_text,
     vocabulary,
     with_ngrams,
@@ -201,7 +202,8 @@ def _vectors(wide: DataFrame, names: list[str], scaling: dict[str, tuple[float,
     """Add ``features``: the trained columns in trained order, scaled.  A column the
     frame lacks counts as 0."""
     have = set(wide.columns)
-    full = wide.withColumns({n: F.lit(0.0) for n in names if n not in have} or {names[0]: F.col(names[0])})
+    missing = {n: F.lit(0.0) for n in names if n not in have}
+    full = wide.withColumns(missing) if missing else wide
     inputs = [f"_scaled_{n}" for n in names]
     scaled = [c.alias(i) for i, c in zip(inputs, scale_by({n: scaling[n] for n in names}))]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
@@ -264,7 +266,7 @@ def fit(
     names = list(structural)
     if text:
         vocab = vocabulary(rows if text_on_all_rows else train, text)
-        terms = [(r["term"], r["idf"]) for r in vocab.orderBy("position").collect()]
+        terms = collect_terms(vocab)
         train, test = (with_wide_tfidf(d, terms, text) for d in (train, test))
         names += [f"{text.prefix}{i}" for i in range(text.max_features)]
     fitted = moments(train, names).first()["moments"]
@@ -358,6 +360,44 @@ def cross_validate(vectors: DataFrame, estimator, folds: int = 5) -> list[float]
     ]
 
 
+def fold_table(rows: DataFrame, names: list[str], keys=KEYS, folds: int = 5) -> DataFrame:
+    """A written table of ``features``, ``label`` and ``fold`` for tuning and validation."""
+    written = materialize(rows.withColumn("fold", fold_of(*keys, folds=folds)), "fold-features")
+    fitted = moments(written, names).first()["moments"]
+    scaling = {n: (fitted[n]["mean"], fitted[n]["std"]) for n in names}
+    return _vectors(written, names, scaling).select("features", "label", "fold")
+
+
+def grid_report(spark: SparkSession, grid: list, found) -> DataFrame:
+    """Mean and deviation of MAE per combination, and which one won."""
+    best = min(range(len(grid)), key=lambda i: found.avgMetrics[i])
+    rows = [
+        (
+            i,
+            ", ".join(f"{p.name}={v}" for p, v in sorted(combo.items(), key=lambda x: x[0].name)),
+            float(found.avgMetrics[i]),
+            float(found.stdMetrics[i]),
+            i == best,
+        )
+        for i, combo in enumerate(grid)
+    ]
+    return spark.createDataFrame(
+        rows, "combination int, settings string, cv_mae_mean double, cv_mae_std double, best boolean"
+    )
+
+
+def cv_report(spark: SparkSession, maes: list[float]) -> DataFrame:
+    """One row per fold with the mean and population deviation over the folds."""
+    rows = spark.createDataFrame(list(enumerate(maes)), "fold int, mae double")
+    overall = rows.agg(F.struct(F.avg("mae").alias("m"), F.stddev_pop("mae").alias("s")))
+    return rows.select(
+        "fold",
+        "mae",
+        overall.scalar()["m"].alias("cv_mae_mean"),
+        overall.scalar()["s"].alias("cv_mae_std"),
+    )
+
+
 # --- persistence ------------------------------------------------------------
 
 

@@ -108,3 +108,8 @@ def pr_record(
             F.col("created_at"), F.col("merged_at"), F.coalesce("draft_time_hours", F.lit(0.0))
         ).alias("merge_time_hours"),
     )
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Rows of separately collected repositories; a column one lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -27,7 +27,8 @@ ENGLISH_STOP_WORDS = (
     "ought would"
 ).split()
 
-WORD = r"(?U)\b\w\w+\b"
+#: Runs of letters, digits and underscores; combining marks end a word.
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 @dataclass(frozen=True)
@@ -118,6 +119,11 @@ def vocabulary(grams: DataFrame, config: TextConfig = PR_TEXT, ngrams: str = "ng
     )
 
 
+def collect_terms(vocab: DataFrame) -> list[tuple[str, float]]:
+    """A fitted vocabulary as ``(term, idf)`` in position order: ``max_features`` rows at most."""
+    return [(r["term"], r["idf"]) for r in vocab.orderBy("position").collect()]
+
+
 def tfidf(grams: DataFrame, vocab: DataFrame, key: str, ngrams: str = "ngrams") -> DataFrame:
     """Long form, one row per document and term it contains.
 
