@@ -547,7 +547,7 @@ def _line_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def outliers_iqr(spark, sf_dir):
-    return stats.filter_outliers(_line_prices(spark, sf_dir), "l_extendedprice", "iqr", 0.5)
+    return stats.filter_outliers(_line_prices(spark, sf_dir), "l_extendedprice", "iqr", 0.4)
 
 
 @query
@@ -904,14 +904,14 @@ def model_summary(spark, sf_dir):
     return models.registry(spark, [f"{path}_{target}" for target in fitted])
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str, folds: int = 5) -> DataFrame:
     """Scaled training vectors with a fold number."""
 
     def make() -> DataFrame:
         rows = models.pr_table(features.training_rows(fixtures.pull_requests(spark, sf_dir)), None)
-        return models.fold_table(rows, list(features.PR_STRUCTURAL))
+        return models.fold_table(rows, list(features.PR_STRUCTURAL), folds=folds)
 
-    return once(spark, sf_dir, "vectors", make)
+    return once(spark, sf_dir, f"vectors-{folds}", make)
 
 
 @query
@@ -923,7 +923,7 @@ def grid_search(spark, sf_dir):
         .addGrid(estimator.minInstancesPerNode, [1, 4])
         .build()
     )
-    found = models.tuned(_vectors(spark, sf_dir), estimator, grid, folds=3)
+    found = models.tuned(_vectors(spark, sf_dir, folds=3), estimator, grid, folds=3)
     return models.grid_report(spark, grid, found)
 
 

@@ -20,6 +20,7 @@ def local_session(cores: str | int = "*", **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("shipmeter")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
