@@ -29,7 +29,7 @@ from shipmeter import KEYS
 from shipmeter.functions.hashing import split_bucket
 from shipmeter.operators import features as feats
 from shipmeter.operators.quantiles import percentiles
-from shipmeter.operators.scaling import moments, scale_by, with_split
+from shipmeter.operators.scaling import fitted_scaling, scale_by, with_split
 from shipmeter.operators.textfeatures import (
     CI_TEXT,
     PR_TEXT,
@@ -87,8 +87,8 @@ def algorithm_name(name: str) -> str:
 
 
 def regressor(config: ModelConfig):
-    """The estimator for a configuration.  Node ids are cached and checkpointed to
-    the shared folder, so deep trees do not drag their lineage along."""
+    """The estimator for a configuration.  Deep trees cache the node of each row and
+    checkpoint it to the shared folder; for shallow ones a walk is cheaper."""
     common = dict(
         featuresCol="features",
         labelCol="label",
@@ -96,7 +96,7 @@ def regressor(config: ModelConfig):
         maxDepth=min(config.depth, 30),
         minInstancesPerNode=config.min_leaf,
         seed=config.seed,
-        cacheNodeIds=True,
+        cacheNodeIds=config.depth > 10,
         checkpointInterval=10,
     )
     if algorithm_name(config.algorithm) == "random_forest":
@@ -210,9 +210,15 @@ def _vectors(wide: DataFrame, names: list[str], scaling: dict[str, tuple[float,
     return assembler.transform(full.select("*", *scaled)).drop(*inputs)
 
 
-def pr_table(prs: DataFrame, text: TextConfig | None, keys=KEYS, label: str | None = "merge_time_hours") -> DataFrame:
+def pr_table(
+    prs: DataFrame,
+    text: TextConfig | None,
+    keys=KEYS,
+    label: str | None = "merge_time_hours",
+    carried: tuple[str, ...] = (),
+) -> DataFrame:
     """Structural features, n-grams and label of pull requests."""
-    carried = [*keys, "ngrams"] if text else [*keys]
+    carried = [*keys, *carried, *(["ngrams"] if text else [])]
     rows = prs.withColumn("_text", pr_text(F.col("title"), F.col("body")))
     if text:
         rows = with_ngrams(rows, "_text", text)
@@ -267,15 +273,17 @@ def fit(
     if text:
         vocab = vocabulary(rows if text_on_all_rows else train, text)
         terms = collect_terms(vocab)
-        train, test = (with_wide_tfidf(d, terms, text) for d in (train, test))
+        wide = with_wide_tfidf(split, terms, text).drop("ngrams")
+        written = materialize(wide, f"{target}-wide-features")
+        train, test = written.where(~F.col("is_test")), written.where(F.col("is_test"))
         names += [f"{text.prefix}{i}" for i in range(text.max_features)]
-    fitted = moments(train, names).first()["moments"]
-    scaling = {n: (fitted[n]["mean"], fitted[n]["std"]) for n in names}
+    scaling = fitted_scaling(train, names)
     model = (estimator or regressor(config)).fit(
         _vectors(train.select("label", *names), names, scaling).select("label", "features")
     )
     result = Fitted(target, names, scaling, terms, text, model, sizes=sizes)
-    scored = result.score(test.select("label", *names))
+    scored = result.score(test.select("label", *names)).select("label", "prediction")
+    scored = materialize(scored, f"{target}-test-scores")
     return replace(result, metrics=_evaluate(scored, target))
 
 
@@ -363,8 +371,7 @@ def cross_validate(vectors: DataFrame, estimator, folds: int = 5) -> list[float]
 def fold_table(rows: DataFrame, names: list[str], keys=KEYS, folds: int = 5) -> DataFrame:
     """A written table of ``features``, ``label`` and ``fold`` for tuning and validation."""
     written = materialize(rows.withColumn("fold", fold_of(*keys, folds=folds)), "fold-features")
-    fitted = moments(written, names).first()["moments"]
-    scaling = {n: (fitted[n]["mean"], fitted[n]["std"]) for n in names}
+    scaling = fitted_scaling(written, names)
     return _vectors(written, names, scaling).select("features", "label", "fold")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +22,30 @@ def with_split(df: DataFrame, keys=KEYS, test_percent: int = 20) -> DataFrame:
 
 
 def moments(train: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: a struct of mean and population deviation per column.  A deviation
-    of 0 is replaced by 1."""
-    fields = [
-        F.struct(
-            F.avg(c).alias("mean"),
-            F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias("std"),
-        ).alias(c)
-        for c in columns
-    ]
-    return train.agg(F.struct(*fields).alias("moments"))
+    """One row ``moments``: arrays ``mean`` and ``std`` (population) in column order.
+
+    A deviation of 0 is replaced by 1.  One vector summary instead of two
+    aggregates per column keeps the plan small for wide tables.
+    """
+    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(train.select(*columns))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col("_v"))
+    found = vectors.agg(summary.alias("_s")).select(
+        vector_to_array("_s.mean").alias("mean"),
+        vector_to_array("_s.variance").alias("_variance"),
+        F.col("_s.count").alias("_n"),
+    )
+
+    def population(variance: Column) -> Column:
+        std = F.sqrt(variance * (F.col("_n") - 1) / F.col("_n"))
+        return F.when(std > 0, std).otherwise(1.0)
+
+    return found.select(F.struct("mean", F.transform("_variance", population).alias("std")).alias("moments"))
+
+
+def fitted_scaling(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and deviation by column, as numbers."""
+    row = moments(train, columns).first()["moments"]
+    return {c: (m, s) for c, m, s in zip(columns, row["mean"], row["std"])}
 
 
 def scale(df: DataFrame, train: DataFrame, columns: list[str], *carried: str) -> DataFrame:
@@ -36,7 +53,10 @@ def scale(df: DataFrame, train: DataFrame, columns: list[str], *carried: str) ->
     fitted = moments(train, columns).scalar()
     return df.select(
         *carried,
-        *[((F.col(c) - fitted[c]["mean"]) / fitted[c]["std"]).alias(c) for c in columns],
+        *[
+            ((F.col(c) - fitted["mean"][i]) / fitted["std"][i]).alias(c)
+            for i, c in enumerate(columns)
+        ],
     )
 
 

@@ -11,7 +11,7 @@ from shipmeter import KEYS
 from shipmeter.functions import scores
 from shipmeter.functions.times import duration_band
 from shipmeter.operators.models import Fitted, ci_table, pr_table
-from shipmeter.operators.validation import split_valid
+from shipmeter.operators.validation import with_error
 
 BATCH_COLUMNS = (
     "repository",
@@ -40,16 +40,16 @@ def score_prs(prs: DataFrame, model: Fitted | None, keys=KEYS) -> DataFrame:
     scaling.
     """
     _require(model)
-    good, bad = split_valid(prs)
-    wide = model.wide(pr_table(good, model.text, keys, label=None))
-    scored = model.score(wide).select(
+    wide = model.wide(pr_table(with_error(prs), model.text, keys, label=None, carried=("error",)))
+    hours = F.when(F.col("error").isNull(), F.col("prediction"))
+    level = scores.confidence(scores.filled_share(model.features))
+    return model.score(wide).select(
         *keys,
-        F.col("prediction").alias("predicted_hours"),
-        (F.col("prediction") / 24).alias("predicted_days"),
-        scores.confidence(scores.filled_share(model.features)).alias("prediction_confidence"),
-        F.lit(None).cast("string").alias("error"),
+        hours.alias("predicted_hours"),
+        (hours / 24).alias("predicted_days"),
+        F.when(F.col("error").isNull(), level).alias("prediction_confidence"),
+        "error",
     )
-    return scored.unionByName(bad.select(*keys, "error"), allowMissingColumns=True)
 
 
 def batch_report(

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, StopWordsRemover
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,25 +125,42 @@ def collect_terms(vocab: DataFrame) -> list[tuple[str, float]]:
     return [(r["term"], r["idf"]) for r in vocab.orderBy("position").collect()]
 
 
-def tfidf(grams: DataFrame, vocab: DataFrame, key: str, ngrams: str = "ngrams") -> DataFrame:
-    """Long form, one row per document and term it contains.
+def _weights(df: DataFrame, terms: list[tuple[str, float]], ngrams: str) -> DataFrame:
+    """Add ``_counts``, ``_w`` and ``_norm`` of a fitted vocabulary to each row.
 
-    The vocabulary has at most ``max_features`` rows, so it is broadcast; only
-    terms found in it are shuffled, at most that many per document.
+    Terms are looked up by hash inside the row, so applying a vocabulary needs no
+    explode and no shuffle, however long a text is.
     """
-    found = (
-        grams.select(key, F.explode(ngrams).alias("term"))
-        .join(F.broadcast(vocab.select("term", "idf", "position")), "term")
-        .groupBy(key, "term", "idf", "position")
-        .agg(F.count("*").alias("tf"))
+    counter = CountVectorizerModel.from_vocabulary(
+        [t for t, _ in terms], inputCol=ngrams, outputCol="_vector", minTF=1.0
     )
-    weighted = found.withColumn("_w", (1 + F.log("tf")) * F.col("idf"))
-    terms = F.collect_list(F.struct("term", "position", "tf", F.col("_w").alias("w")))
-    per_doc = weighted.groupBy(key).agg(
-        terms.alias("_terms"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm")
+    counted = counter.transform(df).withColumn("_counts", vector_to_array("_vector")).drop("_vector")
+    idfs = F.array(*[F.lit(float(idf)) for _, idf in terms])
+    w = F.zip_with(
+        "_counts", idfs, lambda tf, idf: F.when(tf > 0, (1 + F.log(tf)) * idf).otherwise(0.0)
     )
-    return per_doc.select(key, F.explode("_terms").alias("_t"), "_norm").select(
-        key, "_t.term", "_t.position", "_t.tf", (F.col("_t.w") / F.col("_norm")).alias("tfidf")
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x * x))
+    return counted.withColumn("_w", w).withColumn("_norm", norm)
+
+
+def tfidf(grams: DataFrame, terms: list[tuple[str, float]], key: str, ngrams: str = "ngrams") -> DataFrame:
+    """Long form of a fitted vocabulary, one row per document and term it contains."""
+    if not terms:
+        empty = "term string, position int, tf bigint, tfidf double"
+        return grams.sparkSession.createDataFrame([], f"{key} bigint, {empty}")
+    names = F.array(*[F.lit(t) for t, _ in terms])
+    entries = F.arrays_zip(names.alias("term"), F.col("_counts").alias("tf"), F.col("_w").alias("w"))
+    return (
+        _weights(grams, terms, ngrams)
+        .select(key, "_norm", F.posexplode(entries).alias("position", "_t"))
+        .where(F.col("_t.tf") > 0)
+        .select(
+            key,
+            F.col("_t.term").alias("term"),
+            "position",
+            F.col("_t.tf").cast("long").alias("tf"),
+            (F.col("_t.w") / F.col("_norm")).alias("tfidf"),
+        )
     )
 
 
@@ -155,33 +173,20 @@ def weighted(df: DataFrame, weight: float, column: str = "tfidf") -> DataFrame:
 def with_wide_tfidf(
     df: DataFrame, terms: list[tuple[str, float]], config: TextConfig, ngrams: str = "ngrams"
 ) -> DataFrame:
-    """Add columns ``prefix0`` to ``prefix<max_features-1>`` of a fitted vocabulary.
-
-    ``terms`` are ``(term, idf)`` in position order; positions it does not fill
-    are 0.  Works inside the row, so scoring needs no explode and no shuffle.
-    """
-    names = F.array(*[F.lit(t) for t, _ in terms]).cast("array<string>")
-    idfs = F.array(*[F.lit(float(idf)) for _, idf in terms]).cast("array<double>")
-    hits = F.filter(F.transform(ngrams, lambda g: F.array_position(names, g)), lambda p: p > 0)
-    counts = F.transform(
-        F.sequence(F.lit(1), F.lit(config.max_features)),
-        lambda i: F.size(F.filter("_hits", lambda p: p == i)),
-    )
-    weights = F.zip_with(
-        "_counts", idfs, lambda tf, idf: F.when(tf > 0, (1 + F.log(tf)) * idf).otherwise(0.0)
+    """Add columns ``prefix0`` to ``prefix<max_features-1>``, weighted, of a fitted
+    vocabulary.  Positions the vocabulary does not fill are 0."""
+    names = [f"{config.prefix}{i}" for i in range(config.max_features)]
+    if not terms:
+        return df.select("*", *[F.lit(0.0).alias(n) for n in names])
+    share = F.transform(
+        "_w",
+        lambda w: F.when(F.col("_norm") > 0, w / F.col("_norm") * F.lit(config.weight)).otherwise(0.0),
     )
-    norm = F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda acc, w: acc + F.coalesce(w * w, F.lit(0.0))))
-    scaled = (
-        df.withColumn("_hits", hits)
-        .withColumn("_counts", counts)
-        .withColumn("_weights", weights)
-        .withColumn("_norm", norm)
+    filled = _weights(df, terms, ngrams).withColumn("_share", share)
+    return filled.select(
+        *df.columns,
+        *[
+            (F.col("_share")[i] if i < len(terms) else F.lit(0.0)).alias(n)
+            for i, n in enumerate(names)
+        ],
     )
-    columns = [
-        (
-            F.coalesce(F.try_divide(F.get("_weights", F.lit(i)), F.col("_norm")), F.lit(0.0))
-            * F.lit(config.weight)
-        ).alias(f"{config.prefix}{i}")
-        for i in range(config.max_features)
-    ]
-    return scaled.select(*df.columns, *columns)

@@ -17,7 +17,7 @@ from shipmeter.operators import ci, features, incremental, models, pulls, scalin
 from shipmeter.operators import textfeatures as tf
 from shipmeter.operators import validation
 from shipmeter.operators.timeline import draft_time
-from shipmeter.session import prepare, scratch_path
+from shipmeter.session import prepare, scratch_path, spread
 from shipmeter.sources import documents, fixtures, store
 from shipmeter.sources.fixtures import PR_ID
 
@@ -641,23 +641,26 @@ def scaled_features(spark, sf_dir):
 # --- text -------------------------------------------------------------------
 
 
-def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, spread over all cores if the files alone would not be."""
     docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tf.with_ngrams(docs, "text").select("doc_id", "ngrams")
+    return spread(docs, "doc_id")
+
+
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tf.with_ngrams(_texts(spark, sf_dir), "text").select("doc_id", "ngrams")
 
 
 @query
 def tokens(spark, sf_dir):
-    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tf.with_tokens(docs, "text").select(
+    return tf.with_tokens(_texts(spark, sf_dir), "text").select(
         "doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5")
     )
 
 
 @query
 def tokens_nostop(spark, sf_dir):
-    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = tf.without_stop_words(tf.with_tokens(docs, "text"))
+    words = tf.without_stop_words(tf.with_tokens(_texts(spark, sf_dir), "text"))
     return words.select(
         "doc_id", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("words_md5")
     )
@@ -678,7 +681,7 @@ def vocabulary(spark, sf_dir):
 @query
 def tfidf(spark, sf_dir):
     grams = _grams(spark, sf_dir)
-    return _rounded(tf.tfidf(grams, tf.vocabulary(grams), "doc_id"), ["tfidf"])
+    return _rounded(tf.tfidf(grams, tf.collect_terms(tf.vocabulary(grams)), "doc_id"), ["tfidf"])
 
 
 @query
@@ -686,13 +689,13 @@ def tfidf_apply(spark, sf_dir):
     """The vocabulary of the training documents applied to all of them."""
     grams = _grams(spark, sf_dir)
     train = scaling.with_split(grams, ["doc_id"]).where(~F.col("is_test"))
-    return _rounded(tf.tfidf(grams, tf.vocabulary(train), "doc_id"), ["tfidf"])
+    return _rounded(tf.tfidf(grams, tf.collect_terms(tf.vocabulary(train)), "doc_id"), ["tfidf"])
 
 
 @query
 def text_weighting(spark, sf_dir):
     grams = _grams(spark, sf_dir)
-    long = tf.tfidf(grams, tf.vocabulary(grams, tf.CI_TEXT), "doc_id")
+    long = tf.tfidf(grams, tf.collect_terms(tf.vocabulary(grams, tf.CI_TEXT)), "doc_id")
     return _rounded(tf.weighted(long, tf.CI_TEXT.weight), ["tfidf"])
 
 

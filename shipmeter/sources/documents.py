@@ -13,10 +13,12 @@ from shipmeter.schemas import PULL_REQUEST, STORED_DOCUMENT
 _CORRUPT = "_corrupt_record"
 _TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
-# A text column keeps its spaces, quotes and line breaks, and "" stays apart from null.
+# A text column keeps its spaces, quotes and line breaks, and "" stays apart from
+# null, which is written as \N.
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
+    "nullValue": "\\N",
     "multiLine": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
