@@ -4,6 +4,8 @@
 bounded sketch only proposes cut points close to the wanted ranks; exact counts
 between the cuts say which interval holds a rank, and just that interval is
 sorted.  A poor cut makes an interval longer, never a result wrong.
+
+The input is read more than once: pass a scan or a written table, not a join.
 """
 
 from __future__ import annotations
@@ -19,43 +21,37 @@ _MARGIN = 2.0 / _ACCURACY
 
 def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float], by: list[str]) -> DataFrame:
     """One row per group and wanted rank (0-based, an array column over ``n``)."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    keys = by or ["_all"]
+    # Without groups the helper tables have one row per cut at most.
+    small = (lambda t: t) if by else F.broadcast
+    columns = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    rows = df.where(F.col(value).isNotNull()).select(*columns, F.col(value).cast("double").alias("_v"))
     edges = sorted({min(1.0, max(0.0, p + d)) for p in near for d in (-_MARGIN, _MARGIN)})
-    cuts = rows.groupBy(*by).agg(
+    cuts = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.approx_percentile("_v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("_cuts"),
     )
-    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    if by:
-        placed = counts.join(cuts.select(*by, "_cuts"), by)
-    else:
-        placed = counts.withColumn("_cuts", cuts.select("_cuts").scalar())
+    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     interval = F.aggregate(
         "_cuts", F.lit(0), lambda acc, cut: acc + F.when(cut < F.col("_v"), 1).otherwise(0)
     )
-    placed = placed.select(*by, interval.alias("_i"), "_v", "_c")
+    placed = counts.join(small(cuts), keys).select(*keys, "n", interval.alias("_i"), "_v", "_c")
 
     # At most one row per cut and group from here to the join.
-    before = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    intervals = (
-        placed.groupBy(*by, "_i")
+    before = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        placed.groupBy(*keys, "n", "_i")
         .agg(F.sum("_c").alias("_size"))
         .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    )
-    if by:
-        sized = intervals.join(cuts.select(*by, "n"), by)
-    else:
-        sized = intervals.withColumn("n", cuts.select("n").scalar())
-    wanted = (
-        sized.withColumn("_rank", F.explode(F.array_distinct(ranks)))
+        .withColumn("_rank", F.explode(F.array_distinct(ranks)))
         .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size")))
-        .groupBy(*by, "_i", "_start", "n")
+        .groupBy(*keys, "_i", "_start")
         .agg(F.sort_array(F.collect_list("_rank")).alias("_ranks"))
     )
-    if not by:
-        wanted = F.broadcast(wanted)  # one row per cut at most
-    inside = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.join(wanted, [*by, "_i"]).withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
+    inside = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.join(small(wanted), [*keys, "_i"]).withColumn(
+        "_upto", F.col("_start") + F.sum("_c").over(inside)
+    )
     hit = F.filter(
         "_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c"))
     )

@@ -49,15 +49,9 @@ def fitted_scaling(train: DataFrame, columns: list[str]) -> dict[str, tuple[floa
 
 
 def scale(df: DataFrame, train: DataFrame, columns: list[str], *carried: str) -> DataFrame:
-    """Columns of ``df`` in units of ``train``, attached as a scalar subquery."""
-    fitted = moments(train, columns).scalar()
-    return df.select(
-        *carried,
-        *[
-            ((F.col(c) - fitted["mean"][i]) / fitted["std"][i]).alias(c)
-            for i, c in enumerate(columns)
-        ],
-    )
+    """Columns of ``df`` in units of ``train``, which is read first."""
+    fitted = fitted_scaling(train, columns)
+    return df.select(*carried, *scale_by({c: fitted[c] for c in columns}))
 
 
 def scale_by(columns: dict[str, tuple[float, float]]) -> list[Column]:

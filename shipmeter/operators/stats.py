@@ -63,18 +63,21 @@ def filter_outliers(df: DataFrame, value: str, method: str = "iqr", factor: floa
     ``zscore``: keep values less than ``factor`` sample deviations from the mean; a
     zero deviation drops every row.  Null values are dropped by both.
 
-    The statistics reach the rows as scalar subqueries, so rows are only filtered.
+    The limits are computed first and reach the scan as plain numbers, so the
+    filter is pushed down to the files.
     """
     x = F.col(value)
     if method == "iqr":
-        q = percentiles(df, value, {"q1": 0.25, "q3": 0.75}).select(F.struct("q1", "q3"))
-        q1, q3 = q.scalar()["q1"], q.scalar()["q3"]
-        spread = (q3 - q1) * F.lit(factor)
-        return df.where((x >= q1 - spread) & (x <= q3 + spread))
+        q = percentiles(df, value, {"q1": 0.25, "q3": 0.75}).first()
+        if q.q1 is None:
+            return df.where(F.lit(False))
+        spread = (q.q3 - q.q1) * factor
+        return df.where((x >= q.q1 - spread) & (x <= q.q3 + spread))
     if method == "zscore":
-        m = df.agg(F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")))
-        score = F.try_divide(x - m.scalar()["mean"], m.scalar()["std"])
-        return df.where(F.abs(score) < F.lit(factor))
+        m = df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).first()
+        if not m.std:
+            return df.where(F.lit(False))
+        return df.where(F.abs((x - F.lit(m.mean)) / F.lit(m.std)) < F.lit(factor))
     raise ValueError(f"method must be 'iqr' or 'zscore', not {method!r}")
 
 

@@ -17,7 +17,7 @@ from shipmeter.operators import ci, features, incremental, models, pulls, scalin
 from shipmeter.operators import textfeatures as tf
 from shipmeter.operators import validation
 from shipmeter.operators.timeline import draft_time
-from shipmeter.session import prepare, scratch_path, spread
+from shipmeter.session import materialize, prepare, scratch_path, spread
 from shipmeter.sources import documents, fixtures, store
 from shipmeter.sources.fixtures import PR_ID
 
@@ -355,7 +355,7 @@ def fetch_budget(spark, sf_dir):
     listed = pulls.human_prs(fixtures.pr_listing(spark, sf_dir))
     stored = fixtures.pr_repositories(spark, sf_dir).where(F.col("pr_number") % 3 != 0)
     counts = stored.groupBy("repository").agg(F.count("*").alias("stored"))
-    candidates = incremental.prs_to_fetch(listed, stored, PR_ID)
+    candidates = materialize(incremental.prs_to_fetch(listed, stored, PR_ID), "candidates")
     taken = incremental.fetch_budget(candidates, counts, max_new=400, limit=2_300)
     return taken.select(*_KEY, "position", "merged")
 
@@ -492,7 +492,8 @@ def _runs_by_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ci_summary(spark, sf_dir):
     doubles = ("success_rate", "failure_rate")
     doubles += tuple(f"{k}_duration_seconds" for k in ("avg", "max", "min", "median"))
-    return _rounded(ci.ci_summary(_runs_by_repository(spark, sf_dir)), doubles)
+    runs = _runs_by_repository(spark, sf_dir).drop("ci_target_url", "ordinal")
+    return _rounded(ci.ci_summary(materialize(runs, "runs")), doubles)
 
 
 @query
@@ -515,7 +516,8 @@ def ci_top_tests_by_repo(spark, sf_dir):
 
 @query
 def repo_numeric_stats(spark, sf_dir):
-    out = stats.numeric_stats(fixtures.pull_requests(spark, sf_dir), by=["repository"])
+    prs = fixtures.pull_requests(spark, sf_dir).select("repository", *stats.STAT_FIELDS)
+    out = stats.numeric_stats(materialize(prs, "numbers"), by=["repository"])
     return out.select(
         "repository", "field", *[r6(c) for c in ("mean", "median", "std", "min", "max")]
     )
@@ -527,15 +529,21 @@ def repo_time_profile(spark, sf_dir):
     return _rounded(out, ("weekend_prs_ratio", "business_hours_prs_ratio"))
 
 
+def _merge_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two narrow columns, written once for the passes over them."""
+    prs = fixtures.pull_requests(spark, sf_dir).select("repository", "merge_time_hours")
+    return materialize(prs, "merge-times")
+
+
 @query
 def merge_time_percentiles(spark, sf_dir):
-    out = stats.merge_percentiles(fixtures.pull_requests(spark, sf_dir))
+    out = stats.merge_percentiles(_merge_times(spark, sf_dir))
     return out.select(*[r6(c) for c in out.columns])
 
 
 @query
 def merge_time_percentiles_by_repo(spark, sf_dir):
-    out = stats.merge_percentiles(fixtures.pull_requests(spark, sf_dir), by=["repository"])
+    out = stats.merge_percentiles(_merge_times(spark, sf_dir), by=["repository"])
     return out.select("repository", *[r6(c) for c in out.columns if c != "repository"])
 
 
@@ -592,6 +600,7 @@ def pr_text(spark, sf_dir):
 def pr_features(spark, sf_dir):
     """All 66 columns, the vocabulary fitted on every row."""
     table = models.pr_table(fixtures.pull_requests(spark, sf_dir), tf.PR_TEXT, label=None)
+    table = materialize(table, "features")
     terms = tf.collect_terms(tf.vocabulary(table, tf.PR_TEXT))
     wide = tf.with_wide_tfidf(table, terms, tf.PR_TEXT)
     return _feature_output(wide, [c for c in wide.columns if c not in (*_KEY, "ngrams")])
@@ -633,7 +642,8 @@ def train_test_split(spark, sf_dir):
 @query
 def scaled_features(spark, sf_dir):
     names = list(features.PR_STRUCTURAL)
-    table = scaling.with_split(features.pr_features(fixtures.pull_requests(spark, sf_dir), *_KEY))
+    rows = features.pr_features(fixtures.pull_requests(spark, sf_dir), *_KEY)
+    table = materialize(scaling.with_split(rows), "features")
     out = scaling.scale(table, table.where(~F.col("is_test")), names, *_KEY, "is_test")
     return out.select(*_KEY, "is_test", *[r6(n) for n in names])
 
@@ -716,7 +726,7 @@ def regression_metrics(spark, sf_dir):
 
 @query
 def ci_metrics(spark, sf_dir):
-    labels = features.with_ci_labels(_rollup(spark, sf_dir))
+    labels = materialize(features.with_ci_labels(_rollup(spark, sf_dir)), "labels")
     rules = {
         "duration": F.col("ci_total_runs") * 0.5,
         "attempts": F.col("ci_unique_tests") * 2.0,
