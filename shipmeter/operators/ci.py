@@ -147,10 +147,14 @@ def ci_parts(runs: DataFrame, keys=KEYS, part_span: int = 1000) -> DataFrame:
 def nest_ci(prs: DataFrame, runs: DataFrame, keys=KEYS, part_span: int = 1000) -> DataFrame:
     """Pull requests with their runs embedded, one row per part of runs.
 
-    A full join: a PR without runs keeps a null array, and runs whose PR has no
-    record keep a row with the key alone.
+    Equal to a full join: a PR without runs keeps a null array, and runs whose PR
+    has no record keep a row with the key alone.  Written as a left join from the
+    parts, which can be split when one PR has very many, and an anti join.
     """
-    return prs.join(ci_parts(runs, keys, part_span), list(keys), "full_outer")
+    keys = list(keys)
+    embedded = ci_parts(runs, keys, part_span).join(prs, keys, "left")
+    alone = prs.join(runs.select(*keys).distinct(), keys, "left_anti")
+    return embedded.unionByName(alone, allowMissingColumns=True)
 
 
 def explode_ci(documents: DataFrame, keys=KEYS) -> DataFrame:

@@ -55,14 +55,15 @@ def basic_pr_features() -> dict[str, Column]:
 
 
 def derived_pr_features() -> dict[str, Column]:
+    """Ratios are null where a faulty row has a count of -1 and the divisor is 0."""
     added, deleted, files = F.col("additions"), F.col("deletions"), F.col("files_changed")
     commits = F.col("commit_count") + 1
     return {
         "lines_changed": added + deleted,
-        "addition_ratio": added / (added + deleted + 1),
-        "files_per_addition": files / (added + 1),
-        "reviews_per_commit": F.col("review_count") / commits,
-        "comments_per_commit": F.col("comment_count") / commits,
+        "addition_ratio": F.try_divide(added, added + deleted + 1),
+        "files_per_addition": F.try_divide(files, added + 1),
+        "reviews_per_commit": F.try_divide(F.col("review_count"), commits),
+        "comments_per_commit": F.try_divide(F.col("comment_count"), commits),
         "is_business_hours": _flag(times.hour_in_business_day(F.col("created_hour"))),
         "is_weekend": _flag(times.is_weekend_day(F.col("created_day"))),
     }
@@ -77,8 +78,8 @@ def ci_features() -> dict[str, Column]:
         "pr_is_draft": _flag(F.col("pr_is_draft")),
         **{c: F.coalesce(F.col(c), F.lit(0)) for c in CI_NUMERIC},
         **{c: _flag(F.col(c)) for c in KIND_WORDS},
-        "ci_run_per_test_ratio": runs / (tests + 1),
-        "ci_duration_per_file": average / (F.col("pr_files_changed") + 1),
+        "ci_run_per_test_ratio": F.try_divide(runs, tests + 1),
+        "ci_duration_per_file": F.try_divide(average, F.col("pr_files_changed") + 1),
     }
 
 

@@ -56,20 +56,22 @@ def fetch_budget(
         .where((F.col("_rows_before") < max_new) & (F.col("_merged_before") < limit))
         .drop("_stored")
     )
+    # Within an hour only the first max_new rows can be taken, and each map task
+    # already cuts its own rows to that many.
     order = Window.partitionBy(by, "_hour").orderBy(F.desc_nulls_last("updated_at"), id_column)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        rows.join(hours, [by, "_hour"])
-        .withColumn("_rank", F.row_number().over(order))
+    first = (
+        rows.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= max_new)
+        .withColumn("_merged_here", F.coalesce(F.sum(merged).over(earlier), F.lit(0)))
     )
     return (
-        ranked.withColumn("_position", F.col("_rows_before") + F.col("_rank"))
-        .withColumn(
-            "_taken", F.col("_merged_before") + F.coalesce(F.sum(merged).over(earlier), F.lit(0))
+        first.join(hours, [by, "_hour"])
+        .withColumn("position", F.col("_rows_before") + F.col("_rank"))
+        .where(
+            (F.col("position") <= max_new)
+            & (F.col("_merged_before") + F.col("_merged_here") < limit)
         )
-        .where((F.col("_position") <= max_new) & (F.col("_taken") < limit))
-        .withColumn("position", F.col("_position"))
         .select(*candidates.columns, "position")
     )
 

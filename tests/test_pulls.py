@@ -128,3 +128,13 @@ def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([(1, "x")], "n int, body string")
     b = spark.createDataFrame([(2,)], "n int")
     assert {tuple(r) for r in pulls.union_all([b, a]).collect()} == {(1, "x"), (2, None)}
+
+
+def test_fetch_budget_cuts_rows_before_the_shuffle(spark):
+    rows = [("r0", n, START, True) for n in range(500)]
+    schema = "repository string, pr_number bigint, updated_at timestamp, merged boolean"
+    candidates = spark.createDataFrame(rows, schema)
+    counts = spark.createDataFrame([], "repository string, stored bigint")
+    taken = incremental.fetch_budget(candidates, counts, 100, 1000)
+    assert {r.pr_number for r in taken.collect()} == set(range(100))
+    assert "WindowGroupLimit [repository#" in taken._jdf.queryExecution().executedPlan().toString()
