@@ -21,35 +21,40 @@ _MARGIN = 2.0 / _ACCURACY
 
 def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float], by: list[str]) -> DataFrame:
     """One row per group and wanted rank (0-based, an array column over ``n``)."""
-    keys = by or ["_all"]
-    # Without groups the helper tables have one row per cut at most.
-    small = (lambda t: t) if by else F.broadcast
-    columns = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
-    rows = df.where(F.col(value).isNotNull()).select(*columns, F.col(value).cast("double").alias("_v"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     edges = sorted({min(1.0, max(0.0, p + d)) for p in near for d in (-_MARGIN, _MARGIN)})
-    cuts = rows.groupBy(*keys).agg(
+    cuts = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.approx_percentile("_v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("_cuts"),
     )
-    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    if by:
+        placed = counts.join(cuts, by)
+    else:
+        # One row with a number per cut, so it can travel through the driver.
+        only = cuts.first()
+        numbers = F.array(*[F.lit(c) for c in only["_cuts"] or []]).cast("array<double>")
+        placed = counts.withColumns({"n": F.lit(only["n"]).cast("long"), "_cuts": numbers})
     interval = F.aggregate(
         "_cuts", F.lit(0), lambda acc, cut: acc + F.when(cut < F.col("_v"), 1).otherwise(0)
     )
-    placed = counts.join(small(cuts), keys).select(*keys, "n", interval.alias("_i"), "_v", "_c")
+    placed = placed.select(*by, "n", interval.alias("_i"), "_v", "_c")
 
     # At most one row per cut and group from here to the join.
-    before = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     wanted = (
-        placed.groupBy(*keys, "n", "_i")
+        placed.groupBy(*by, "n", "_i")
         .agg(F.sum("_c").alias("_size"))
         .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .withColumn("_rank", F.explode(F.array_distinct(ranks)))
         .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size")))
-        .groupBy(*keys, "_i", "_start")
+        .groupBy(*by, "_i", "_start")
         .agg(F.sort_array(F.collect_list("_rank")).alias("_ranks"))
     )
-    inside = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.join(small(wanted), [*keys, "_i"]).withColumn(
+    if not by:
+        wanted = F.broadcast(wanted)  # one row per cut at most
+    inside = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.join(wanted, [*by, "_i"]).withColumn(
         "_upto", F.col("_start") + F.sum("_c").over(inside)
     )
     hit = F.filter(
