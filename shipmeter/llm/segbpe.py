@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shipmeter.llm.pretokens import ALPHABET, WORD_PATTERN, Cutter
+from shipmeter.llm.shipping import ship
 
 CACHE_WORDS = 400_000
 CACHE_LENGTH = 48
@@ -212,6 +213,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     empty texts give no ids and an empty decoded text.  Repeated rows are encoded each;
     other columns are not carried, so their names cannot clash.
     """
+    ship(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         raw = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(raw)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shipmeter.llm.pretokens import ALPHABET, BYTE_PATTERN, Cutter
+from shipmeter.llm.shipping import ship
 
 CACHE_WORDS = 300_000
 CACHE_LENGTH = 64
@@ -114,6 +115,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     counts as empty: 0 bytes, 0 tokens.  Repeated rows are counted each; other columns
     are not carried, so their names cannot clash.
     """
+    ship(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         raw = f.read()
     shared = docs.sparkSession.sparkContext.broadcast((raw, prove(raw)))
