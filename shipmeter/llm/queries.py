@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipmeter.llm import dartminhash, decontam, segbpe, tokencount
+from shipmeter.llm import dartminhash, decontam, secretscan, segbpe, tokencount
 from shipmeter.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,21 @@ def op1_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, a digest of the base spans and all spans."""
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.kind.isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secretscan.spelled(base), 256).alias("base_sha256"), secretscan.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
