@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipmeter.llm import dartminhash, decontam, secretscan, segbpe, tokencount
+from shipmeter.llm import dartminhash, decontam, imatch, secretscan, segbpe, tokencount
 from shipmeter.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,13 @@ def op2_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    tested = imatch.edit_test(table(spark, sf_dir, "documents"))
+    return tested.withColumns({c: imatch.spelled(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 @query
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
