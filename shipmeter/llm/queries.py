@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipmeter.llm import dartminhash, decontam, imatch, secretscan, segbpe, tokencount
+from shipmeter.llm import dartminhash, decontam, imatch, secretscan, segbpe, tokencount, toxicity, ziplang
 from shipmeter.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,29 @@ def op2_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(column: str, n: int) -> Column:
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+@query
+def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    taught = docs.filter(remainder("doc_id", 5) != 0)
+    judged = ziplang.predict(docs, ziplang.fit(taught))
+    return judged.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score_documents(docs, labels, remainder("id", 5) == 0)
+    return scored.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
