@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipmeter.llm import dartminhash, decontam, imatch, secretscan, segbpe, tokencount, toxicity, ziplang
+from shipmeter.llm import dartminhash, decontam, imatch, quality, secretscan, segbpe, surrogates, tokencount, toxicity, ziplang
 from shipmeter.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKEN_LIMIT = 1024
+SURROGATE_KEY = "test key; production passes its own secret"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -64,6 +65,13 @@ def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    replaced = surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replaced.select("doc_id", "text", "n_entities", "kinds")
+
+
 @query
 def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
@@ -81,6 +89,16 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.withColumns({c: imatch.spelled(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+@query
+def op7_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score_documents(docs, quality.fit(docs, labels, remainder("id", 4) == 2))
+    return scored.select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
