@@ -180,16 +180,17 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     return _shaped(kind, value, surrogate_core(kind, core(kind, value), attempt, key))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with ``_id``, ``_key`` (digest of the text) and ``_values`` (entities in order)."""
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns), ``id``, ``text``, ``key`` (digest of the text), ``values`` (entities in order)."""
     text = F.col(text_col).cast("string")
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
-    return docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(text), "_values": found})
+    values = F.coalesce(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array().cast("array<string>"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"), values.alias("values"))
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct ``kind`` and ``core`` of all entities."""
-    value = _keyed(docs, id_col, text_col).select(F.explode("_values").alias("value")).distinct()
+    value = _found(docs, id_col, text_col).select(F.explode("values").alias("value")).distinct()
     return value.select(kind_of(F.col("value")).alias("kind"), core(kind_of(F.col("value")), F.col("value")).alias("core")).distinct()
 
 
@@ -225,32 +226,30 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     """``docs`` with the entities in ``text_col`` replaced, ``n_entities`` and ``kinds`` added.
 
     ``key`` is the secret that decides all surrogates.  A null text stays null and has no
-    entities; a text without entities is unchanged.  Repeated rows and other columns are
-    kept (``n_entities`` and ``kinds`` replace columns of that name).  Names starting with an
-    underscore are used inside and must not occur in ``docs``.
+    entities; a text without entities is unchanged.  Repeated rows and all other columns,
+    whatever their names, are kept; ``n_entities`` and ``kinds`` replace columns so named.
     """
-    rows = _keyed(docs, id_col, text_col)
+    rows = _found(docs, id_col, text_col)
     settled = settle(materialize(entities(docs, id_col, text_col), "entities"), key)
     again = settled.filter("attempt <> 0").select("kind", "core", "attempt")
     if again.isEmpty():
-        new = F.transform("_values", lambda v: surrogate(v, F.lit(0), key))
+        new = F.transform("values", lambda v: surrogate(v, F.lit(0), key))
     else:
-        held = rows.select("_id", "_key", "_values").distinct()
-        each = held.select("_id", "_key", F.posexplode("_values").alias("pos", "value"))
-        each = each.withColumns({"kind": kind_of(F.col("value"))}).withColumn("core", core(F.col("kind"), F.col("value")))
-        tried = each.join(again, ["kind", "core"]).groupBy("_id", "_key").agg(
-            F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("_tried")
+        each = rows.select("id", "key", "values").distinct().select("id", "key", F.posexplode("values").alias("pos", "value"))
+        each = each.withColumn("kind", kind_of(F.col("value"))).withColumn("core", core(F.col("kind"), F.col("value")))
+        tried = each.join(again, ["kind", "core"]).groupBy("id", "key").agg(
+            F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("tried")
         )
-        tried = tried.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "_tried")
-        rows = rows.join(tried, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_i", "_k")
-        new = F.transform("_values", lambda v, i: surrogate(v, F.coalesce(F.col("_tried")[i], F.lit(0)), key))
-    text = F.col(text_col).cast("string")
-    gaps = F.split(text, ENTITY, -1)
+        tried = tried.select(F.col("id").alias("i"), F.col("key").alias("k"), "tried")
+        rows = rows.join(tried, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+        new = F.transform("values", lambda v, n: surrogate(v, F.coalesce(F.col("tried")[n], F.lit(0)), key))
+    gaps = F.split("text", ENTITY, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    kinds = F.array_sort(F.array_distinct(F.transform("_values", kind_of)))
-    done = rows.withColumns({
-        text_col: F.when(F.size("_values") > 0, rebuilt).otherwise(F.col(text_col)),
-        "n_entities": F.size("_values").cast("long"),
+    kinds = F.array_sort(F.array_distinct(F.transform("values", kind_of)))
+    made = {
+        text_col: F.when(F.size("values") > 0, rebuilt).otherwise(F.col("text")),
+        "n_entities": F.size("values").cast("long"),
         "kinds": F.array_join(kinds, ","),
-    })
-    return done.drop("_id", "_key", "_values", "_tried")
+    }
+    kept = [made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(*kept, *[v.alias(c) for c, v in made.items() if c not in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipmeter.llm.lexer import sliced, words
+from shipmeter.llm.lexer import Words, sliced, words
 from shipmeter.llm.shipping import ship
 from shipmeter.session import materialize
 
@@ -69,6 +69,18 @@ def _telling(sample: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.word for r in best], np.int64))
 
 
+def _events(w: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The event of each word and the one before it, 0 at the start of a row."""
+    hashes = w.hashes.view(np.int64)
+    event = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        event = np.where(known[at] == hashes, at + 1, 0)
+    before = np.concatenate(([0], event))[: len(event)]
+    before[w.first[:-1][np.diff(w.first) > 0]] = 0
+    return event, before
+
+
 def cells(docs: DataFrame, known: np.ndarray) -> DataFrame:
     """``id``, ``n`` (words), ``cell`` and ``times`` (arrays): the bigrams of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
@@ -77,13 +89,8 @@ def cells(docs: DataFrame, known: np.ndarray) -> DataFrame:
         table = sent.value
         for batch in sliced(batches, 1):
             w = words(batch.column(1))
-            hashes, row, n = w.hashes.view(np.int64), w.row_of(), batch.num_rows
-            event = np.zeros(len(hashes), np.int64)
-            if len(table):
-                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                event = np.where(table[at] == hashes, at + 1, 0)
-            before = np.concatenate(([0], event[:-1])) if len(event) else event
-            before[w.first[:-1][np.diff(w.first) > 0]] = 0
+            row, n = w.row_of(), batch.num_rows
+            event, before = _events(w, table)
             key, times = np.unique(row * (SIZE * SIZE) + before * SIZE + event, return_counts=True)
             ends = np.concatenate(([0], np.cumsum(np.bincount(key // (SIZE * SIZE), minlength=n)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -193,6 +200,26 @@ def score(every: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     return gained.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-z))).alias("score"))
 
 
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns kept; one map step.
+
+    A null text scores as a text of no words.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in sliced(batches, place):
+            w = words(batch.column(place))
+            event, before = _events(w, m.known)
+            gain = np.bincount(w.row_of(), m.gain[before * SIZE + event], minlength=batch.num_rows)
+            z = _features(gain, np.diff(w.first).astype(float)) @ m.curve
+            yield batch.filter(pa.array(1 / (1 + np.exp(-z)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, kept_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` for every row of ``docs``, from a model fitted on its labelled rows.
 
