@@ -27,6 +27,7 @@ from shipmeter.llm.shipping import ship
 from shipmeter.session import materialize
 
 VOCABULARY = 1023
+TELLING = 5.0  # standard deviations by which a telling word's shares differ
 SAMPLE_DOCS = 20_000  # labelled rows that choose the words, and as many that fit the curve
 DISCOUNT = 0.75
 SIZE = VOCABULARY + 1  # event 0: any other word; as a context also the start of a text
@@ -65,7 +66,7 @@ def _telling(sample: DataFrame) -> np.ndarray:
     p, q = F.col("a") / float(sizes.a), F.col("b") / float(sizes.b)
     pooled = (F.col("a") + F.col("b")) / float(sizes.a + sizes.b)
     z = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1.0 / sizes.a + 1.0 / sizes.b) + 1e-12)
-    best = counts.filter("a + b >= 3").withColumn("z", z).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
+    best = counts.filter("a + b >= 3").withColumn("z", z).filter(F.col("z") >= TELLING).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
     return np.sort(np.array([r.word for r in best], np.int64))
 
 
