@@ -56,8 +56,10 @@ def fetch_budget(
         .where((F.col("_rows_before") < max_new) & (F.col("_merged_before") < limit))
         .drop("_stored")
     )
-    # Within an hour only the first max_new rows can be taken, and each map task
-    # already cuts its own rows to that many.
+    # Rows of hours that cannot matter go before the rank.  Within an hour only the
+    # first max_new rows can be taken; up to 1000 of them, each map task already cuts
+    # its own rows to that many.
+    rows = rows.join(hours.select(by, "_hour"), [by, "_hour"], "left_semi")
     order = Window.partitionBy(by, "_hour").orderBy(F.desc_nulls_last("updated_at"), id_column)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     first = (

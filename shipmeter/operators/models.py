@@ -44,6 +44,8 @@ from shipmeter.session import materialize, shared_dir
 
 CI_TARGETS = ("duration", "attempts", "success")
 MIN_ROWS = 50
+#: Labelled rows that a forest is grown on at most.
+MAX_FIT_ROWS = 1_000_000
 SEED = 42
 
 _ALGORITHMS = {
@@ -88,19 +90,29 @@ def algorithm_name(name: str) -> str:
 
 def regressor(config: ModelConfig):
     """The estimator for a configuration.  Deep trees cache the node of each row and
-    checkpoint it to the shared folder; for shallow ones a walk is cheaper."""
+    checkpoint it to the shared folder; for shallow ones a walk is cheaper.
+
+    A forest considers every feature at each split.  Depths over 30 are more than
+    MLlib has and an error.
+    """
+    if config.depth > 30:
+        raise ValueError(f"depth {config.depth} is over 30, the most that is supported")
     common = dict(
         featuresCol="features",
         labelCol="label",
         predictionCol="prediction",
-        maxDepth=min(config.depth, 30),
+        maxDepth=config.depth,
+        maxBins=64,
+        maxMemoryInMB=512,
         minInstancesPerNode=config.min_leaf,
         seed=config.seed,
         cacheNodeIds=config.depth > 10,
         checkpointInterval=10,
     )
     if algorithm_name(config.algorithm) == "random_forest":
-        return RandomForestRegressor(numTrees=config.rounds, **common)
+        return RandomForestRegressor(
+            numTrees=config.rounds, featureSubsetStrategy="all", **common
+        )
     return GBTRegressor(
         maxIter=config.rounds, stepSize=config.step, subsamplingRate=config.subsample, **common
     )
@@ -249,12 +261,16 @@ def fit(
     test_percent: int = 20,
     text_on_all_rows: bool = False,
     estimator=None,
+    max_fit_rows: int = MAX_FIT_ROWS,
 ) -> Fitted:
     """Split, fit text features and scaling on the training rows, train, evaluate.
 
     ``rows`` carries ``label`` (never null), the structural features and, with
     ``text``, ``ngrams``; it should be a written table, for it is read repeatedly.
-    ``text_on_all_rows`` fits the vocabulary before the split.
+    ``text_on_all_rows`` fits the vocabulary before the split.  Trees are grown on
+    at most ``max_fit_rows`` training rows, those with the least hash of their key,
+    because the driver holds the finished forest; vocabulary, scaling and metrics
+    cover all rows.
     """
     shared_dir(rows.sparkSession)
     split = with_split(rows, keys, test_percent)
@@ -278,9 +294,11 @@ def fit(
         train, test = written.where(~F.col("is_test")), written.where(F.col("is_test"))
         names += [f"{text.prefix}{i}" for i in range(text.max_features)]
     scaling = fitted_scaling(train, names)
-    model = (estimator or regressor(config)).fit(
-        _vectors(train.select("label", *names), names, scaling).select("label", "features")
-    )
+    grown = train
+    if sizes["training_size"] > max_fit_rows:
+        grown = train.orderBy(F.xxhash64(*keys), *keys).limit(max_fit_rows)
+    grown = _vectors(grown.select("label", *names), names, scaling).select("label", "features")
+    model = (estimator or regressor(config)).fit(materialize(grown, f"{target}-vectors"))
     result = Fitted(target, names, scaling, terms, text, model, sizes=sizes)
     scored = result.score(test.select("label", *names)).select("label", "prediction")
     scored = materialize(scored, f"{target}-test-scores")

@@ -24,6 +24,7 @@ BATCH_COLUMNS = (
     "confidence_lower",
     "confidence_upper",
     "created_at",
+    "error",
 )
 
 
@@ -32,15 +33,18 @@ def _require(model: object) -> None:
         raise ValueError("a model must be trained before making predictions")
 
 
-def score_prs(prs: DataFrame, model: Fitted | None, keys=KEYS) -> DataFrame:
+def score_prs(
+    prs: DataFrame, model: Fitted | None, keys=KEYS, carried: tuple[str, ...] = ()
+) -> DataFrame:
     """Predicted hours and days and a confidence class; a faulty row gets its fault
-    in ``error`` and no prediction.
+    in ``error`` and no prediction.  ``carried`` columns of ``prs`` are kept.
 
     Confidence is the share of features, text included, that are not 0 before
     scaling.
     """
     _require(model)
-    wide = model.wide(pr_table(with_error(prs), model.text, keys, label=None, carried=("error",)))
+    table = pr_table(with_error(prs), model.text, keys, label=None, carried=("error", *carried))
+    wide = model.wide(table)
     hours = F.when(F.col("error").isNull(), F.col("prediction"))
     level = scores.confidence(scores.filled_share(model.features))
     return model.score(wide).select(
@@ -49,23 +53,25 @@ def score_prs(prs: DataFrame, model: Fitted | None, keys=KEYS) -> DataFrame:
         (hours / 24).alias("predicted_days"),
         F.when(F.col("error").isNull(), level).alias("prediction_confidence"),
         "error",
+        *carried,
     )
 
 
 def batch_report(
     prs: DataFrame, model: Fitted | None, url: Column, keys=KEYS
 ) -> DataFrame:
-    """The ten columns of the batch export.
+    """The ten columns of the batch export and the fault of a row that has one.
 
     The category is the band of the predicted duration, and the interval is the
     prediction plus the 5 % and 95 % quantiles of the test residuals, not below 0.
+    A faulty row stays in the report without a prediction.
     """
     hours = F.col("predicted_hours")
     low = model.metrics.get("residual_p05") if model else None
     high = model.metrics.get("residual_p95") if model else None
-    scored = score_prs(prs, model, keys).where(F.col("error").isNull())
-    shown = prs.select(*keys, F.col("title").alias("pr_title"), url.alias("pr_url"), "created_at")
-    return scored.join(shown, list(keys)).select(
+    shown = prs.withColumns({"pr_title": F.col("title"), "pr_url": url})
+    scored = score_prs(shown, model, keys, carried=("pr_title", "pr_url", "created_at"))
+    return scored.select(
         "repository",
         "pr_number",
         "pr_title",
@@ -73,9 +79,10 @@ def batch_report(
         "predicted_hours",
         "predicted_days",
         duration_band(hours).alias("time_category"),
-        F.greatest(F.lit(0.0), hours + F.lit(low)).alias("confidence_lower"),
-        F.greatest(F.lit(0.0), hours + F.lit(high)).alias("confidence_upper"),
+        F.when(hours.isNotNull(), F.greatest(F.lit(0.0), hours + F.lit(low))).alias("confidence_lower"),
+        F.when(hours.isNotNull(), F.greatest(F.lit(0.0), hours + F.lit(high))).alias("confidence_upper"),
         "created_at",
+        "error",
     )
 
 
@@ -123,8 +130,12 @@ def score_ci(rollup: DataFrame, models: Mapping[str, Fitted], keys=KEYS) -> Data
 
 
 def combine(pr_scores: DataFrame, ci_scores: DataFrame, keys=KEYS) -> DataFrame:
-    """PR and CI predictions side by side, compared."""
-    joined = pr_scores.where(F.col("error").isNull()).join(ci_scores, list(keys))
+    """PR and CI predictions side by side, compared.
+
+    Every scored PR stays: one with a fault has ``error`` and no prediction, and one
+    without CI predictions has nulls in their place.
+    """
+    joined = pr_scores.join(ci_scores, list(keys), "left")
     return joined.select(
         *keys,
         "predicted_hours",
@@ -134,5 +145,9 @@ def combine(pr_scores: DataFrame, ci_scores: DataFrame, keys=KEYS) -> DataFrame:
             "timeline_comparison"
         ),
         F.col("recommendation").alias("ci_recommendation"),
-        scores.confidence_advice(F.col("prediction_confidence")).alias("pr_advice"),
+        F.when(
+            F.col("prediction_confidence").isNotNull(),
+            scores.confidence_advice(F.col("prediction_confidence")),
+        ).alias("pr_advice"),
+        "error",
     )

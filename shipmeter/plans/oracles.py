@@ -500,7 +500,20 @@ _oracle(
     "stored_pr_keys",
     "repos",
     """SELECT repository, pr_number, pr_number IN (SELECT user_id FROM events) AS has_ci
-       FROM repos WHERE pr_number % 3 <> 0""",
+       FROM repos""",
+)
+_oracle(
+    "store_cycle",
+    "stored incoming",
+    """SELECT repository, pr_number, additions, _cache_hash, coalesce(ci_run_count, 0) AS ci_run_count,
+         (SELECT count(*) FROM incoming WHERE repository = 'org/building') AS dropped
+       FROM incoming WHERE repository <> 'org/building'""",
+)
+_oracle(
+    "store_runs",
+    "runs_repo incoming",
+    f"""SELECT r.repository, r.pr_number, r.ordinal, r.ci_name, r.ci_state, {r6('r.ci_duration_seconds', 'ci_duration_seconds')}
+        FROM runs_repo r JOIN incoming i USING (repository, pr_number) WHERE r.repository <> 'org/building'""",
 )
 _oracle(
     "store_stats",
@@ -508,7 +521,7 @@ _oracle(
     """SELECT coalesce(repository, '(all)') AS repository,
          coalesce(replace(repository, '/', '_'), '(all)') AS store_name,
          count(*) AS prs, count(DISTINCT repository) AS repositories
-       FROM (SELECT repository FROM repos WHERE pr_number % 3 <> 0)
+       FROM repos
        GROUP BY ROLLUP (repository)""",
 )
 _oracle(
@@ -644,7 +657,7 @@ _oracle(
 _oracle(
     "stored_prs_limit",
     "repos",
-    "SELECT pr_number, repository FROM repos WHERE pr_number % 3 <> 0 ORDER BY pr_number LIMIT 1000",
+    "SELECT pr_number, repository FROM repos ORDER BY pr_number LIMIT 1000",
 )
 _oracle(
     "open_prs_topn",

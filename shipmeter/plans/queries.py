@@ -7,6 +7,7 @@ places and times become text at the very end, so engines can be compared.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,6 +184,35 @@ def clear_repo(spark, sf_dir):
     return store.without_repository(stored, "org/building").select(*_KEY, "_cache_hash")
 
 
+def _cycled(spark: SparkSession, sf_dir: str) -> tuple[store.Store, int]:
+    """A written store: part of the PRs, then all of them twice over with runs, then one clear."""
+    kept = store.Store(spark, scratch_path(spark, "store"))
+    repos = fixtures.pr_repositories(spark, sf_dir)
+    runs = fixtures.ci_runs(spark, sf_dir).join(repos.select("repository", "pr_number"), list(PR_ID))
+    stored, incoming = _stored_and_incoming(spark, sf_dir)
+    first, second, third = (datetime(2024, 6, d) for d in (1, 2, 3))
+    kept.upsert(stored, first)
+    kept.upsert(incoming.unionByName(incoming), second, runs)
+    return kept, kept.clear("org/building", third)
+
+
+@query
+def store_cycle(spark, sf_dir):
+    """What is left after loads, a load with every key twice, and a dropped repository."""
+    kept, dropped = _cycled(spark, sf_dir)
+    return kept.rows().select(
+        *_KEY, "additions", "_cache_hash", F.coalesce("ci_run_count", F.lit(0)).alias("ci_run_count"),
+        F.lit(dropped).cast("long").alias("dropped"),
+    )
+
+
+@query
+def store_runs(spark, sf_dir):
+    """CI runs read back from the store."""
+    kept, _ = _cycled(spark, sf_dir)
+    return kept.runs().select(*_KEY, "ordinal", "ci_name", "ci_state", r6("ci_duration_seconds"))
+
+
 @query
 def pr_change_hash_query(spark, sf_dir):
     prs = fixtures.pull_requests(spark, sf_dir)
@@ -194,7 +224,7 @@ QUERIES["pr_change_hash"] = QUERIES.pop("pr_change_hash_query")
 
 @query
 def stored_pr_keys(spark, sf_dir):
-    stored = fixtures.pr_listing(spark, sf_dir).where(F.col("pr_number") % 3 != 0)
+    stored = fixtures.pr_listing(spark, sf_dir)
     runs = fixtures.ci_runs(spark, sf_dir).select(*PR_ID).distinct().withColumn("_ci", F.lit(True))
     return stored.join(runs, list(PR_ID), "left").select(
         *_KEY, F.coalesce("_ci", F.lit(False)).alias("has_ci")
@@ -203,7 +233,7 @@ def stored_pr_keys(spark, sf_dir):
 
 @query
 def store_stats(spark, sf_dir):
-    stored = fixtures.pr_repositories(spark, sf_dir).where(F.col("pr_number") % 3 != 0)
+    stored = fixtures.pr_repositories(spark, sf_dir)
     out = stats.store_stats(stored)
     return out.select(
         F.coalesce("repository", F.lit("(all)")).alias("repository"),
@@ -362,8 +392,7 @@ def fetch_budget(spark, sf_dir):
 
 @query
 def stored_prs_limit(spark, sf_dir):
-    stored = fixtures.pr_repositories(spark, sf_dir).where(F.col("pr_number") % 3 != 0)
-    return incremental.first_stored(stored, 1000)
+    return incremental.first_stored(fixtures.pr_repositories(spark, sf_dir), 1000)
 
 
 @query

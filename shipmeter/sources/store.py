@@ -19,7 +19,8 @@ from pyspark.sql.utils import AnalysisException
 
 from shipmeter import KEYS
 from shipmeter.functions.hashing import pr_change_hash
-from shipmeter.schemas import PULL_REQUEST, conform
+from shipmeter.schemas import CI_RUN, PULL_REQUEST, conform
+from shipmeter.session import materialize
 
 VERSION = T.StructType(
     PULL_REQUEST.fields
@@ -30,6 +31,16 @@ VERSION = T.StructType(
         T.StructField("_cached_at", T.TimestampType()),
     ]
 )
+#: A stored CI run; ``_cached_at`` names the version of the pull request it belongs to.
+RUNS = T.StructType(
+    [
+        T.StructField("repository", T.StringType()),
+        T.StructField("pr_number", T.LongType()),
+        T.StructField("ordinal", T.LongType()),
+        *CI_RUN.fields,
+        T.StructField("_cached_at", T.TimestampType()),
+    ]
+)
 _CLEARS = T.StructType(
     [T.StructField("repository", T.StringType()), T.StructField("_cleared_at", T.TimestampType())]
 )
@@ -67,6 +78,13 @@ def action(stored_hash: Column, new_hash: Column) -> Column:
     )
 
 
+def last_of_each(incoming: DataFrame, keys=KEYS, order: str | None = None) -> DataFrame:
+    """One incoming row per key: the last by ``order``, ties by the greater hash."""
+    by = [F.desc(order)] if order else []
+    rank = Window.partitionBy(*keys).orderBy(*by, F.desc("_cache_hash"))
+    return incoming.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") == 1).drop("_n")
+
+
 def changes(stored: DataFrame, incoming: DataFrame, keys=KEYS) -> DataFrame:
     """The incoming rows that are new or differ from their stored version."""
     known = stored.select(*keys, F.col("_cache_hash").alias("_known"))
@@ -82,7 +100,7 @@ def merge(stored: DataFrame, incoming: DataFrame, keys=KEYS) -> DataFrame:
     keys = list(keys)
     others = [c for c in stored.columns if c not in keys]
     old = stored.select(*keys, F.struct(*others).alias("_old"))
-    new = incoming.select(*keys, F.struct(*others).alias("_new"))
+    new = last_of_each(incoming, keys).select(*keys, F.struct(*others).alias("_new"))
     both = old.join(new, keys, "full_outer")
     chosen = action(F.col("_old._cache_hash"), F.col("_new._cache_hash"))
     row = F.when(chosen.isin("insert", "update"), F.col("_new")).otherwise(F.col("_old"))
@@ -131,19 +149,39 @@ class Store:
         rows = self.rows()
         return (rows.where(F.col("ci_run_count") > 0) if with_ci_only else rows).select(*self.keys)
 
-    def upsert(self, incoming: DataFrame, at: datetime) -> None:
-        """Append what is new or changed.  Running it again appends nothing."""
+    def upsert(self, incoming: DataFrame, at: datetime, runs: DataFrame | None = None) -> None:
+        """Append what is new or changed, with its CI runs.  Running it again appends nothing.
+
+        Of several incoming rows with one key one is taken.  Only the stored rows of the
+        incoming repositories are read.
+        """
+        keys = list(self.keys)
         rows = with_hash(storable(conform(incoming, VERSION))).withColumn("_cached_at", F.lit(at))
-        heads = self.rows().select(*self.keys, "_cache_hash")
+        touched = rows.select("repository").distinct()
+        heads = latest(self.versions().join(touched, "repository", "left_semi"), keys)
+        new = changes(heads.select(*keys, "_cache_hash"), last_of_each(rows, keys), keys)
+        new = materialize(new.select(*VERSION.fieldNames()), "upsert")
+        if runs is not None:
+            # Runs go first: a version without its runs would be wrong, runs without a
+            # version are never read.
+            stamped = runs.join(new.select(*keys, "_cached_at"), keys)
+            self._append(stamped.select(*RUNS.fieldNames()), "runs")
+        self._append(new, "versions")
+
+    def _append(self, rows: DataFrame, name: str) -> None:
         (
-            changes(heads, rows, self.keys)
-            .select(*VERSION.fieldNames())
-            .hint("rebalance", "repository")
+            rows.hint("rebalance", "repository")
             .write.mode("append")
             .partitionBy("repository")
-            .parquet(f"{self.path}/versions")
+            .parquet(f"{self.path}/{name}")
         )
 
+    def runs(self, repositories: list[str] | None = None) -> DataFrame:
+        """The CI runs of the current rows."""
+        keys = list(self.keys)
+        current = self.rows(repositories).select(*keys, "_cached_at")
+        return self._read("runs", RUNS).join(current, [*keys, "_cached_at"]).drop("_cached_at")
+
     def clear(self, repository: str, at: datetime) -> int:
         """Hide all rows of a repository; returns how many there were."""
         dropped = self.rows([repository]).count()
@@ -152,11 +190,11 @@ class Store:
         return dropped
 
     def compact(self, path: str) -> Store:
-        """The current rows as the only versions of a new store."""
-        (
-            self.rows()
-            .hint("rebalance", "repository")
-            .write.partitionBy("repository")
-            .parquet(f"{path}/versions")
-        )
-        return Store(self.spark, path, self.keys)
+        """The current rows and their runs as the only versions of a new store."""
+        keys = list(self.keys)
+        copy = Store(self.spark, path, self.keys)
+        current = materialize(self.rows(), "current")
+        stamped = self._read("runs", RUNS).join(current.select(*keys, "_cached_at"), [*keys, "_cached_at"])
+        copy._append(stamped.select(*RUNS.fieldNames()), "runs")
+        copy._append(current, "versions")
+        return copy
