@@ -628,6 +628,46 @@ _oracle(
         CASE WHEN pr_number % 70 <> 0 THEN title END AS title) FROM prs)""",
 )
 
+_FAULT = (
+    "CASE "
+    + " ".join(f"WHEN {c} IS NULL THEN 'Missing required PR data field: {c}'" for c in _REQUIRED)
+    + " "
+    + " ".join(f"WHEN {c} < 0 THEN 'Field {c} must be a non-negative number'" for c in _COUNTS)
+    + " END"
+)
+_oracle(
+    "batch_score_keys",
+    "prs",
+    f"""SELECT repository, pr_number, error, error IS NOT NULL AS unpredicted, error IS NOT NULL AS unrated
+        FROM (SELECT repository, pr_number, {_FAULT} AS error FROM (
+          SELECT * REPLACE (CASE WHEN pr_number % 50 = 0 THEN -1 ELSE additions END AS additions,
+            CASE WHEN pr_number % 70 <> 0 THEN title END AS title) FROM prs))""",
+)
+_oracle(
+    "batch_report_keys",
+    "prs",
+    f"""SELECT repository, pr_number, title AS pr_title,
+          'https://git.example.org/' || repository || '/pull/' || pr_number AS pr_url,
+          {iso('created_at')}, {_FAULT} AS error, {_FAULT} IS NOT NULL AS unpredicted
+        FROM (SELECT *, row_number() OVER (PARTITION BY repository
+                ORDER BY created_at DESC, pr_number DESC) AS rank FROM prs WHERE pr_state = 'open')
+        WHERE rank <= 50""",
+)
+_oracle(
+    "combined_keys",
+    "prs runs",
+    f"""SELECT repository, pr_number, {_FAULT} AS error, {_FAULT} IS NOT NULL AS unpredicted
+        FROM prs WHERE pr_number IN (SELECT pr_number FROM runs)""",
+)
+_oracle("model_reload", "prs", "SELECT count(*) AS prs, 0::BIGINT AS changed FROM prs")
+_oracle(
+    "train_sizes",
+    "prs split",
+    """SELECT count(*) AS data_points, count(*) FILTER (WHERE NOT is_test) AS training_size,
+         count(*) FILTER (WHERE is_test) AS test_size
+       FROM prs JOIN split USING (repository, pr_number) WHERE merge_time_hours <= 720""",
+)
+
 # --- incremental load -------------------------------------------------------
 
 _oracle(

@@ -810,10 +810,12 @@ def ci_prediction_summary(spark, sf_dir):
 
 # --- models -----------------------------------------------------------------
 
-_FOREST = models.ModelConfig("random_forest", rounds=20, depth=8, min_leaf=2)
-_BOOSTING = models.ModelConfig("gradient_boosting", rounds=20, depth=5, min_leaf=1, subsample=0.9)
-_LEAFWISE = models.ModelConfig("leafwise", rounds=20, depth=5, min_leaf=20, subsample=1.0)
-_CI_FOREST = models.ModelConfig("random_forest", rounds=20, depth=6, min_leaf=2)
+_FOREST, _BOOSTING, _LEAFWISE = (
+    models.PR_DEFAULTS[n] for n in ("random_forest", "gradient_boosting", "leafwise")
+)
+_CI_FOREST = models.CI_DEFAULTS["random_forest"]
+#: Labelled rows that the trees of registered queries grow on at most.
+FIT_ROWS = 2_000
 
 
 def _merge_model(spark: SparkSession, sf_dir: str, config=_FOREST) -> models.Fitted:
@@ -821,7 +823,9 @@ def _merge_model(spark: SparkSession, sf_dir: str, config=_FOREST) -> models.Fit
         spark,
         sf_dir,
         f"merge-{config.algorithm}",
-        lambda: models.fit_merge_time(fixtures.pull_requests(spark, sf_dir), config, min_rows=10),
+        lambda: models.fit_merge_time(
+            fixtures.pull_requests(spark, sf_dir), config, min_rows=10, max_fit_rows=FIT_ROWS
+        ),
     )
 
 
@@ -830,7 +834,9 @@ def _ci_models(spark: SparkSession, sf_dir: str) -> tuple[dict[str, models.Fitte
         spark,
         sf_dir,
         "ci",
-        lambda: models.fit_ci(_rollup(spark, sf_dir), _CI_FOREST, min_rows=10),
+        lambda: models.fit_ci(
+            _rollup(spark, sf_dir), _CI_FOREST, min_rows=10, max_fit_rows=FIT_ROWS
+        ),
     )
 
 
@@ -857,6 +863,16 @@ def batch_scores(spark, sf_dir):
     return scoring.score_prs(_faulty(spark, sf_dir), _merge_model(spark, sf_dir))
 
 
+@query
+def batch_score_keys(spark, sf_dir):
+    """What is certain of ``batch_scores``: every row, its fault, and whether it has a prediction."""
+    out = scoring.score_prs(_faulty(spark, sf_dir), _merge_model(spark, sf_dir))
+    return out.select(
+        *_KEY, "error", F.col("predicted_hours").isNull().alias("unpredicted"),
+        F.col("prediction_confidence").isNull().alias("unrated"),
+    )
+
+
 def _pr_url() -> Column:
     return F.concat(F.lit("https://git.example.org/"), "repository", F.lit("/pull/"), "pr_number")
 
@@ -871,6 +887,28 @@ def batch_report(spark, sf_dir):
     return documents.read_csv(spark, path, report.schema)
 
 
+@query
+def batch_report_keys(spark, sf_dir):
+    """What is certain of ``batch_report``."""
+    report = batch_report(spark, sf_dir)
+    return report.select(
+        *_KEY, "pr_title", "pr_url", iso("created_at"), "error", F.col("predicted_hours").isNull().alias("unpredicted")
+    )
+
+
+@query
+def model_reload(spark, sf_dir):
+    """Rows whose score a reloaded model changes."""
+    model = _merge_model(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    models.save(model, path)
+    prs = fixtures.pull_requests(spark, sf_dir)
+    fresh = scoring.score_prs(prs, model).select(*_KEY, F.col("predicted_hours").alias("fresh"))
+    both = scoring.score_prs(prs, models.load(spark, path)).join(fresh, list(_KEY))
+    same = F.col("predicted_hours").eqNullSafe(F.col("fresh"))
+    return both.agg(F.count("*").alias("prs"), F.count_if(~same).alias("changed"))
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "model")
@@ -903,6 +941,13 @@ def train_report(spark, sf_dir):
     return _report_rows(spark, {"merge_time": _merge_model(spark, sf_dir)}, {}, 20)
 
 
+@query
+def train_sizes(spark, sf_dir):
+    """Rows, training rows and test rows of the merge-time model."""
+    sizes = _merge_model(spark, sf_dir).sizes
+    return spark.createDataFrame([sizes], "data_points long, training_size long, test_size long")
+
+
 @query
 def ci_train_report(spark, sf_dir):
     fitted, errors = _ci_models(spark, sf_dir)
@@ -930,6 +975,13 @@ def combined_analysis(spark, sf_dir):
     return _combined(spark, sf_dir)
 
 
+@query
+def combined_keys(spark, sf_dir):
+    """What is certain of ``combined_analysis``."""
+    out = _combined(spark, sf_dir)
+    return out.select(*_KEY, "error", F.col("predicted_hours").isNull().alias("unpredicted"))
+
+
 @query
 def combined_json(spark, sf_dir):
     combined = _combined(spark, sf_dir)
