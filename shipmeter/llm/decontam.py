@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by a positional inverted index.
 
 The index holds postings of the terms that matter: for every window of an item (``WIDTH``
-words, or a shorter item as a whole) the term that is rarest in the documents.  A posting
+words, or a shorter item as a whole) the two terms that are rarest in the documents.  A posting
 carries the document, the position and the words around it, so the lists of a window's
 other terms are intersected, offset by offset, where the posting lies and need no further
 join.  Postings meet items by a join on the term; one frequent term spreads over
@@ -123,12 +123,15 @@ def build_index(docs: DataFrame, terms: np.ndarray, reach: int) -> DataFrame:
 
 
 def rarest(items: DataFrame, freq: DataFrame, width: int) -> DataFrame:
-    """The words of ``items`` that are the rarest of some window which may occur."""
+    """The words of ``items`` that are among the two rarest, of those that occur, of some window.
+
+    One is enough for exact matches; the second finds a proximity match that lacks the first.
+    """
     known = items.join(freq, "term", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     ahead = Window.partitionBy("item", "version").orderBy("q").rowsBetween(0, width - 1)
-    least = known.withColumn("best", F.min(F.struct("freq", "term", "q")).over(ahead))
-    chosen = least.filter((F.col("q") <= F.greatest(F.col("m") - width, F.lit(0))) & (F.col("best.freq") > 0))
-    picked = chosen.select("item", "version", F.col("best.q").alias("q")).distinct()
+    occurring = F.collect_list(F.when(F.col("freq") > 0, F.struct("freq", "term", "q"))).over(ahead)
+    opened = known.withColumn("rare", F.slice(F.array_sort(occurring), 1, 2)).filter(F.col("q") <= F.greatest(F.col("m") - width, F.lit(0)))
+    picked = opened.select("item", "version", F.explode("rare").alias("r")).select("item", "version", F.col("r.q").alias("q")).distinct()
     return items.join(picked, ["item", "version", "q"], "left_semi")
 
 
