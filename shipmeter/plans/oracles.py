@@ -391,17 +391,29 @@ _PR_PLAIN = (
     "files_changed, additions, deletions, created_hour, created_day, author_association, is_draft"
 )
 _view(
-    "documents_read",
+    "documents_written",
     "prs runs",
     """SELECT p.*, coalesce(part, -1) AS part, coalesce(n, 0) AS ci_runs FROM prs p LEFT JOIN (
          SELECT pr_number, ordinal // 1000 AS part, count(*) AS n FROM runs GROUP BY 1, 2)
-       USING (pr_number) WHERE pr_number % 97 <> 0""",
+       USING (pr_number)""",
+)
+_view(
+    "prs_read",
+    "prs runs",
+    """SELECT p.*, coalesce(n, 0) AS ci_runs FROM prs p LEFT JOIN (
+         SELECT pr_number, count(*) AS n FROM runs GROUP BY 1) USING (pr_number)
+       WHERE pr_number % 97 <> 0""",
+)
+_oracle(
+    "scan_quarantine",
+    "documents_written",
+    "SELECT repository, count(*) AS documents FROM documents_written WHERE pr_number % 97 = 0 GROUP BY repository",
 )
 _oracle(
     "scan_prs",
-    "documents_read",
+    "prs_read",
     f"SELECT repository, pr_number, title, {iso('created_at')}, {iso('merged_at')}, ci_runs "
-    "FROM documents_read",
+    "FROM prs_read",
 )
 _oracle(
     "scan_ci_runs",
@@ -411,8 +423,8 @@ _oracle(
 )
 _oracle(
     "scan_repos",
-    "documents_read",
-    f"""SELECT repository, pr_number, additions, {r6('merge_time_hours')} FROM documents_read
+    "prs_read",
+    f"""SELECT repository, pr_number, additions, {r6('merge_time_hours')} FROM prs_read
         WHERE repository IN ('org/machinery', 'org/building')""",
 )
 _oracle(

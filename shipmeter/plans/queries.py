@@ -80,14 +80,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> str:
 
 @query
 def scan_prs(spark, sf_dir):
-    docs = documents.scan_documents(spark, _documents(spark, sf_dir))
-    return docs.select(
-        *_KEY,
-        "title",
-        iso("created_at"),
-        iso("merged_at"),
-        F.coalesce(F.size("ci_data"), F.lit(0)).alias("ci_runs"),
-    )
+    """One row per readable pull request with the number of its runs."""
+    prs = documents.headers(documents.scan_documents(spark, _documents(spark, sf_dir)))
+    return prs.select(*_KEY, "title", iso("created_at"), iso("merged_at"), "ci_runs")
+
+
+@query
+def scan_quarantine(spark, sf_dir):
+    """Documents that cannot be read, by repository."""
+    bad = documents.quarantine(spark, _documents(spark, sf_dir))
+    return bad.groupBy("repository").agg(F.count("document").alias("documents"))
 
 
 @query
@@ -100,7 +102,7 @@ def scan_ci_runs(spark, sf_dir):
 def scan_repos(spark, sf_dir):
     wanted = ["org/machinery", "org/building", "org/absent"]
     docs = documents.scan_documents(spark, _documents(spark, sf_dir), wanted)
-    return docs.select(*_KEY, "additions", r6("merge_time_hours"))
+    return documents.headers(docs).select(*_KEY, "additions", r6("merge_time_hours"))
 
 
 @query
