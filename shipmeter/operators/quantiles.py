@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer.  Here a
 bounded sketch only proposes cut points close to the wanted ranks; exact counts
-between the cuts say which interval holds a rank, and just that interval is
-sorted.  A poor cut makes an interval longer, never a result wrong.
+between the cuts, combined in the map tasks, say which interval holds a rank, and
+just the values of that interval are shuffled and sorted.  A poor cut makes an interval longer, never a result wrong.
 
 The input is read more than once: pass a scan or a written table, not a join.
 """
@@ -27,24 +27,24 @@ def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float]
         F.count("*").alias("n"),
         F.approx_percentile("_v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("_cuts"),
     )
-    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     if by:
-        placed = counts.join(cuts, by)
+        placed = rows.join(cuts, by)
     else:
         # One row with a number per cut, so it can travel through the driver.
         only = cuts.first()
         numbers = F.array(*[F.lit(c) for c in only["_cuts"] or []]).cast("array<double>")
-        placed = counts.withColumns({"n": F.lit(only["n"]).cast("long"), "_cuts": numbers})
+        placed = rows.withColumns({"n": F.lit(only["n"]).cast("long"), "_cuts": numbers})
     interval = F.aggregate(
         "_cuts", F.lit(0), lambda acc, cut: acc + F.when(cut < F.col("_v"), 1).otherwise(0)
     )
-    placed = placed.select(*by, "n", interval.alias("_i"), "_v", "_c")
+    placed = placed.select(*by, "n", interval.alias("_i"), "_v")
 
-    # At most one row per cut and group from here to the join.
+    # Counts per interval combine in the map tasks: at most one row per cut and group
+    # is shuffled from here to the join.
     before = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     wanted = (
         placed.groupBy(*by, "n", "_i")
-        .agg(F.sum("_c").alias("_size"))
+        .agg(F.count("*").alias("_size"))
         .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .withColumn("_rank", F.explode(F.array_distinct(ranks)))
         .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size")))
@@ -53,10 +53,11 @@ def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float]
     )
     if not by:
         wanted = F.broadcast(wanted)  # one row per cut at most
+    # Only values of the intervals that hold a rank are grouped and sorted.
+    held = placed.join(wanted, [*by, "_i"]).groupBy(*by, "n", "_i", "_start", "_ranks", "_v")
+    counts = held.agg(F.count("*").alias("_c"))
     inside = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.join(wanted, [*by, "_i"]).withColumn(
-        "_upto", F.col("_start") + F.sum("_c").over(inside)
-    )
+    found = counts.withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
     hit = F.filter(
         "_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c"))
     )
