@@ -144,7 +144,7 @@ def _gains(rows: DataFrame, gain: np.ndarray, extra: list[str]) -> DataFrame:
             ends = np.asarray(cell.value_lengths())
             part = value[np.asarray(cell.flatten())] * np.asarray(times.flatten())
             owner = np.repeat(np.arange(batch.num_rows), ends)
-            total = np.bincount(owner, part, minlength=batch.num_rows)
+            total = np.bincount(owner, part, minlength=batch.num_rows).astype(float)
             columns = [batch.column(0), batch.column(1), *batch.columns[4:], pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", *extra, "gain"])
 
@@ -214,7 +214,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: s
         for batch in sliced(batches, place):
             w = words(batch.column(place))
             event, before = _events(w, m.known)
-            gain = np.bincount(w.row_of(), m.gain[before * SIZE + event], minlength=batch.num_rows)
+            gain = np.bincount(w.row_of(), m.gain[before * SIZE + event], minlength=batch.num_rows).astype(float)
             z = _features(gain, np.diff(w.first).astype(float)) @ m.curve
             yield batch.filter(pa.array(1 / (1 + np.exp(-z)) < limit))
 
