@@ -5,10 +5,57 @@ Each oracle names the views it builds on; views are written out once below.
 
 from __future__ import annotations
 
-from shipmeter.functions.urls import DOCUMENT_BASE, DOCUMENT_NAME, RUN_PREFIX, VIEW_PREFIX
-from shipmeter.operators.features import CI_STRUCTURAL, PR_STRUCTURAL
-from shipmeter.operators.pulls import BOT_PATTERNS
-from shipmeter.operators.textfeatures import CI_TEXT, ENGLISH_STOP_WORDS, PR_TEXT, TextConfig
+from typing import NamedTuple
+
+# A test holds the stop words against Spark's own list.
+from shipmeter.operators.textfeatures import ENGLISH_STOP_WORDS as _STOP_WORDS
+
+# What the queries take from constants is written out here again, so that a wrong
+# constant shows as a difference.
+RUN_PREFIX = "https://prow.ci.openshift.org/view/gs"
+VIEW_PREFIX = "https://prow.ci.openshift.org/view/gs/"
+DOCUMENT_BASE = "https://gcsweb-ci.apps.ci.l2s4.p1.openshiftapps.com/gcs"
+DOCUMENT_NAME = "prowjob.json"
+BOT_PATTERNS = (
+    "[bot]",
+    "bot-",
+    "-bot",
+    "dependabot",
+    "renovate",
+    "github-actions",
+    "codecov",
+    "greenkeeper",
+    "snyk",
+    "renovate-bot",
+    "dependabot-preview",
+    "allcontributors",
+    "imgbot",
+    "semantic-release-bot",
+)
+PR_STRUCTURAL = """
+    review_count comment_count commit_count files_changed additions deletions created_hour
+    created_day is_draft lines_changed addition_ratio files_per_addition reviews_per_commit
+    comments_per_commit is_business_hours is_weekend
+""".split()
+CI_STRUCTURAL = """
+    pr_files_changed pr_additions pr_deletions pr_commits pr_is_draft ci_total_duration
+    ci_avg_duration ci_max_duration ci_min_duration ci_total_runs ci_unique_tests
+    ci_successful_runs ci_failed_runs ci_success_rate ci_avg_retries ci_max_retries
+    ci_has_build ci_has_test ci_has_lint ci_has_deploy ci_run_per_test_ratio
+    ci_duration_per_file
+""".split()
+
+
+class TextConfig(NamedTuple):
+    max_features: int
+    min_df: int
+    max_df: float
+    weight: float
+    prefix: str
+
+
+PR_TEXT = TextConfig(50, 2, 0.8, 0.3, "tfidf_")
+CI_TEXT = TextConfig(30, 1, 0.9, 0.2, "ci_tfidf_")
 
 _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 ORACLES: dict[str, str] = {}
@@ -328,7 +375,7 @@ def _text_views(prefix: str, source: str, needs: str, key: str, text: str) -> No
         f"{prefix}_words",
         f"{prefix}_tokens",
         f"""SELECT {key}, token, row_number() OVER (PARTITION BY {key} ORDER BY pos) AS pos
-            FROM {prefix}_tokens WHERE token NOT IN ({_quoted(ENGLISH_STOP_WORDS)})""",
+            FROM {prefix}_tokens WHERE token NOT IN ({_quoted(_STOP_WORDS)})""",
     )
     _view(
         f"{prefix}_grams",

@@ -137,3 +137,12 @@ def test_pr_text_trims_missing_parts(spark):
     rows = [("a", "b"), (None, "b"), ("a", None), (None, None)]
     got = values(spark, rows, "t string, b string", tf.pr_text(F.col("t"), F.col("b")))
     assert got == ["a b", "b", "a", ""]
+
+
+def test_stop_words_are_sparks_own_without_contractions(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from shipmeter.operators.textfeatures import ENGLISH_STOP_WORDS
+
+    own = {w for w in StopWordsRemover.loadDefaultStopWords("english") if "'" not in w}
+    assert set(ENGLISH_STOP_WORDS) == own
