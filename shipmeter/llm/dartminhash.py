@@ -8,10 +8,10 @@ at ranks up to t / W only, about t = k ln k + 2k darts whatever its length; each
 hits one of k coordinates and each coordinate keeps its earliest dart.  Two documents
 agree on a coordinate with a probability equal to their weighted Jaccard similarity.
 
-Coordinates are joined in bands.  Each bucket links its members to one of them, a
-different one in each bucket, so a bucket of n texts gives n - 1 candidates and not all
-pairs; each candidate is then checked exactly.  Buckets in which the checked links
-leave several classes are dealt again between the classes.  Exact copies are one node
+Coordinates are joined in bands.  Each bucket links its members to one of them, so a
+bucket of n texts gives n - 1 candidates and not all pairs; each candidate is then checked
+exactly.  Buckets in which the checked links leave several classes are dealt again, one
+member of each class against another centre, for up to ``ROUNDS`` turns.  Exact copies are one node
 throughout.  Classes are connected components, found by label propagation on tables.
 """
 
@@ -31,8 +31,9 @@ from shipmeter.session import materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 8
-ROUNDS = 3
+BANDS, ROWS = 32, 10
+ROUNDS = 5
+ROWS_AT_ONCE = 128  # rows whose darts are held at once
 
 _U = np.uint64
 _EDGES = np.array([0.0, *(2.0**-e for e in range(6, 0, -1))])  # rank cells below 1; above, unit cells
@@ -90,15 +91,28 @@ def _throw(column: np.ndarray, row: np.ndarray, top: np.ndarray, n: int, k: int)
     cell(mine, nth + len(_EDGES), nth + 1.0, 1.0)
 
     rank, at, ident = map(np.concatenate, (found_rank, found_at, found_id))
+    first = np.full(n * k, np.inf)
+    np.minimum.at(first, at, rank)
+    kept = rank == first[at]
     out = np.zeros(n * k, _U)
-    order = np.argsort(rank, kind="stable")[::-1]
-    out[at[order]] = ident[order]  # the last write, the earliest dart, stays
+    np.maximum.at(out, at[kept], ident[kept])
     return out.reshape(n, k)
 
 
 def sketch(column: np.ndarray, row: np.ndarray, n: int, k: int = BANDS * ROWS) -> np.ndarray:
     """``k`` coordinates for each of ``n`` rows; rows without elements stay 0."""
     weight = np.bincount(row, minlength=n)
+    begin = np.concatenate(([0], np.cumsum(weight)))
+    out = np.zeros((n, k), _U)
+    for low in range(0, n, ROWS_AT_ONCE):  # so that many short texts need no more memory
+        high = min(n, low + ROWS_AT_ONCE)
+        part = slice(begin[low], begin[high])
+        out[low:high] = _sketch(column[part], row[part] - low, weight[low:high], k)
+    return out
+
+
+def _sketch(column: np.ndarray, row: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    n = len(weight)
     out = np.zeros((n, k), _U)
     open_rows = np.flatnonzero(weight)
     darts = k * log(k) + 2 * k
@@ -168,14 +182,30 @@ def _element_lists(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, units array<long>")
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """Links of each bucket's members to one of them, chosen by a hash; ``side`` marks classes."""
-    pick = F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("order"), F.col("id"), F.col("weight"), F.col("side"))
-    heads = members.groupBy("bucket").agg(F.min(pick).alias("head"), F.min("side").alias("a"), F.max("side").alias("b"))
-    linked = members.join(heads.filter("a < b").select("bucket", "head"), "bucket").filter("side <> head.side")
-    u, v = F.least("id", "head.id"), F.greatest("id", "head.id")
-    fits = F.least("weight", "head.weight") >= SIMILARITY * F.greatest("weight", "head.weight")
-    return linked.filter(fits).select(u.alias("u"), v.alias("v")).distinct()
+def _linked(both: DataFrame) -> DataFrame:
+    """Distinct pairs (u < v) of members and the head of their bucket whose weights allow the similarity."""
+    fits = F.least("weight", "h_weight") >= SIMILARITY * F.greatest("weight", "h_weight")
+    apart = both.filter("id <> h_id").filter(fits)
+    return apart.select(F.least("id", "h_id").alias("u"), F.greatest("id", "h_id").alias("v")).distinct()
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """The members (``bucket``, ``id``, ``weight``) of buckets that have several, each with the one of the least id."""
+    heads = members.groupBy("bucket").agg(F.min(F.struct("id", "weight")).alias("h"), F.count("*").alias("n")).filter("n > 1")
+    return members.join(heads.select("bucket", F.col("h.id").alias("h_id"), F.col("h.weight").alias("h_weight")), "bucket")
+
+
+def _more_stars(members: DataFrame, turn: int) -> DataFrame:
+    """Links from one member of each class (``side``) in a bucket to one member of the bucket.
+
+    A hash of the id and the turn chooses them, the same in all buckets, so members of one
+    group mostly meet the same few centres; the next turn has other centres.
+    """
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), F.col("id"), F.col("weight"))
+    shown = members.groupBy("bucket", "side").agg(F.min(order).alias("m"))
+    heads = shown.groupBy("bucket").agg(F.min("m").alias("h"), F.count("*").alias("n")).filter("n > 1")
+    heads = heads.select("bucket", F.col("h.id").alias("h_id"), F.col("h.weight").alias("h_weight"))
+    return _linked(shown.select("bucket", "m.id", "m.weight").join(heads, "bucket"))
 
 
 def _checked(edges: DataFrame, units: DataFrame) -> DataFrame:
@@ -221,9 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(
         signed.groupBy("same").agg(F.min_by(F.struct("id", "weight", "buckets"), "id").alias("n")).select("n.*"), "nodes"
     )
-    members = nodes.select("id", "weight", F.explode("buckets").alias("bucket"), F.col("id").alias("side"))
-    edges = materialize(_stars(members, 0), "edges")
-    ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
+    members = nodes.select("id", "weight", F.explode("buckets").alias("bucket"))
+    crowded = materialize(_crowded(members), "crowded")
+    edges = materialize(_linked(crowded), "edges")
+    ends = crowded.select("id").distinct()
     units = materialize(
         _element_lists(rows.join(ends, "id", "left_semi")).groupBy("id").agg(F.max("units").alias("units")), "units"
     )
@@ -236,13 +267,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if links.isEmpty():
             break
         labels = components(links)
-        candidate = members.drop("side").join(ends, "id", "left_semi").join(labels, "id", "left")
-        sided = candidate.select("id", "weight", "bucket", F.coalesce("label", "id").alias("side"))
-        fresh = _checked(materialize(_stars(sided, turn), "edges"), units)
-        fresh = materialize(fresh, "links")
+        sided = crowded.join(labels, "id", "left").select("bucket", "id", "weight", F.coalesce("label", "id").alias("side"))
+        fresh = materialize(_checked(materialize(_more_stars(sided, turn), "edges"), units), "links")
+        # Classes found so far are kept as stars, not as all the links that made them.
+        links = labels.filter("id <> label").select(F.col("label").alias("u"), F.col("id").alias("v")).unionByName(fresh)
         if fresh.isEmpty():
             break
-        links = materialize(links.unionByName(fresh).distinct(), "links")
     labels = components(links.unionByName(shared)).withColumnRenamed("id", "low")
     return first.join(labels, "low", "left").select(
         F.col("id").alias(id_col), F.coalesce("label", "low").alias("class_id")
