@@ -28,6 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
+# Ids that stay or go grow with the corpus, so their joins merge and never broadcast.
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one of the least id.
 
@@ -38,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("print"))
     single = held.filter("id is not null").withColumn("nth", nth).filter("nth = 1")
-    chosen = single.join(stays, F.col("id") == F.col("kept_id"), "left_semi").select("row.*")
+    chosen = single.join(stays.hint("merge"), F.col("id") == F.col("kept_id"), "left_semi").select("row.*")
     return chosen.unionByName(docs.filter("doc_id is null"))
 
 
@@ -47,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontam.contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
     held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return held.join(hit, F.col("id").eqNullSafe(F.col("hit_id")), "left_anti").select("row.*")
+    return held.join(hit.hint("merge"), F.col("id").eqNullSafe(F.col("hit_id")), "left_anti").select("row.*")
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
