@@ -33,21 +33,20 @@ def terms(text: Column) -> Column:
 
 def lexicon(texts: DataFrame) -> DataFrame:
     """Hashes (``term``) of the terms of ``texts`` (one ``text`` column) in the band."""
-    per_text = texts.select(F.explode(terms(F.col("text"))).alias("word"))
-    counts = materialize(per_text.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("df")), "df")
     total = texts.count()
-    if total == 0:
-        return counts.select("term")
-    idf = F.log(F.lit(float(total)) / F.col("df"))
-    steps = counts.filter(idf >= IDF_LOW).groupBy(F.floor(idf / STEP).alias("step")).count().orderBy("step").collect()
+    per_text = texts.select(F.explode(terms(F.col("text"))).alias("word"))
+    counts = per_text.groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
+    # A term of one text says nothing about others; most terms are such and none is written.
+    counts = materialize(counts.filter((F.col("df") > 1) & (idf >= IDF_LOW)), "df")
+    steps = counts.groupBy(F.floor(idf / STEP).alias("step")).count().orderBy("step").collect()
     held, high = 0, IDF_LOW
     for step in steps:  # at most ln(total) / STEP rows
         held += step["count"]
         if held > LEXICON:
             break
         high = (step["step"] + 1) * STEP
-    # Whole steps only; terms of one document tell nothing about others.
-    return counts.filter((idf >= IDF_LOW) & (F.floor(idf / STEP) < round(high / STEP))).select("term")
+    return counts.filter(F.floor(idf / STEP) < round(high / STEP)).select("term")
 
 
 def following(rows: DataFrame) -> DataFrame:
