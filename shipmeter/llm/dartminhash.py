@@ -182,6 +182,11 @@ def _element_lists(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, units array<long>")
 
 
+def _unbounded(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: merged at every size, never broadcast."""
+    return side.hint("merge")
+
+
 def _linked(both: DataFrame) -> DataFrame:
     """Distinct pairs (u < v) of members and the head of their bucket whose weights allow the similarity."""
     fits = F.least("weight", "h_weight") >= SIMILARITY * F.greatest("weight", "h_weight")
@@ -192,7 +197,8 @@ def _linked(both: DataFrame) -> DataFrame:
 def _crowded(members: DataFrame) -> DataFrame:
     """The members (``bucket``, ``id``, ``weight``) of buckets that have several, each with the one of the least id."""
     heads = members.groupBy("bucket").agg(F.min(F.struct("id", "weight")).alias("h"), F.count("*").alias("n")).filter("n > 1")
-    return members.join(heads.select("bucket", F.col("h.id").alias("h_id"), F.col("h.weight").alias("h_weight")), "bucket")
+    named = heads.select("bucket", F.col("h.id").alias("h_id"), F.col("h.weight").alias("h_weight"))
+    return members.join(_unbounded(named), "bucket")
 
 
 def _more_stars(members: DataFrame, turn: int) -> DataFrame:
@@ -211,7 +217,7 @@ def _more_stars(members: DataFrame, turn: int) -> DataFrame:
 def _checked(edges: DataFrame, units: DataFrame) -> DataFrame:
     """Links whose exact weighted Jaccard similarity is high enough."""
     a, b = units.select(F.col("id").alias("u"), F.col("units").alias("x")), units.select(F.col("id").alias("v"), F.col("units").alias("y"))
-    both = edges.join(a, "u").join(b, "v").withColumn("n", F.size(F.array_intersect("x", "y")))
+    both = edges.join(_unbounded(a), "u").join(_unbounded(b), "v").withColumn("n", F.size(F.array_intersect("x", "y")))
     return both.filter(F.col("n") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("n"))).select("u", "v")
 
 
@@ -256,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = materialize(_linked(crowded), "edges")
     ends = crowded.select("id").distinct()
     units = materialize(
-        _element_lists(rows.join(ends, "id", "left_semi")).groupBy("id").agg(F.max("units").alias("units")), "units"
+        _element_lists(rows.join(_unbounded(ends), "id", "left_semi")).groupBy("id").agg(F.max("units").alias("units")), "units"
     )
     links = materialize(_checked(edges, units), "links")
     held = materialize(signed.select("id", "same").distinct().join(owner, "same").select("id", "rep"), "held")
