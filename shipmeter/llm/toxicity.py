@@ -1,15 +1,17 @@
 """Toxicity by two Kneser-Ney bigram models, one for toxic and one for ordinary texts.
 
-Events are ``VOCABULARY`` telling words, chosen on a bounded sample of labelled rows, and one
-class for all other words.  Bigram counts come from every text of the corpus in one pass:
-labelled texts count for their class, and all texts for the shared backoff, whose
-continuation counts (how many different words come before a word) smooth rare
-expressions alike in both models.  A text's score is the difference of its two log
-likelihoods, normalised by its length, through a logistic curve fitted on labelled rows
-that the counts left out.
-
-The pass writes the bigram cells of each text, a few hundred bytes; counting, joining
-labels and scoring use these and never shuffle a text.
+Events are all words of the corpus, as 64-bit hashes.  A class's bigram counts fall back on
+its word counts, and these on continuation counts (how many different words come before a
+word) that all texts share, so rare expressions are smoothed alike in both models.  Each
+word's difference of log likelihoods counts as far as the labelled texts bear it out: by
+z^4 / (z^4 + TELLING^4), with z from the classes' shares of texts that hold the word or the
+bigram.  A text's score is the sum, normalised by its length, through a logistic curve
+fitted on a bounded number of labelled rows that the counts left out.
+
+Counts are tables keyed by bigram, word and context, which grow with the corpus; nothing of
+them reaches the driver.  Scoring joins the distinct bigrams of each text to the table of
+log-likelihood differences and sums per text.  A text stands there as a digest of its
+bigrams, so no text is shuffled for a score.
 """
 
 from __future__ import annotations
@@ -21,98 +23,151 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from shipmeter.llm.lexer import Words, sliced, words
+from shipmeter.llm.lexer import mix, sliced, words
 from shipmeter.llm.shipping import ship
 from shipmeter.session import materialize
 
-VOCABULARY = 1023
-TELLING = 5.0  # standard deviations by which a telling word's shares differ
-SAMPLE_DOCS = 20_000  # labelled rows that choose the words, and as many that fit the curve
+CURVE_DOCS = 20_000  # labelled rows that fit the curve
 DISCOUNT = 0.75
-SIZE = VOCABULARY + 1  # event 0: any other word; as a context also the start of a text
+TELLING = 5.0  # standard deviations between the classes' shares of texts at which half of a gain counts
+SIZE = 64  # words of the dense form in tests
+
+_U = np.uint64
 
 
 class Model(NamedTuple):
-    known: np.ndarray  # sorted hashes of the telling words
-    gain: np.ndarray  # log P(w | u, toxic) - log P(w | u, ordinary), by cell u * SIZE + w
+    gain: DataFrame  # pair, gain: weighted log P(w | u, toxic) - log P(w | u, ordinary) of every bigram of the corpus
     curve: np.ndarray  # weights of the logistic curve
 
 
+class Pairs(NamedTuple):
+    """Distinct bigrams of some rows; ``pair`` is a hash of both words, ``before`` 0 at the start of a row."""
+
+    row: np.ndarray
+    pair: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+    opens: np.ndarray  # whether it is the first bigram with this word in its row
+    n: np.ndarray  # words of each row
+    digest: np.ndarray  # of each row's bigrams and their times
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _telling(sample: DataFrame) -> np.ndarray:
-    """Hashes of the words whose share of texts differs most between the classes.
-
-    ``sample`` has ``text`` and ``label``.
+def _pairs(texts: pa.Array) -> Pairs:
+    w = words(texts)
+    row, n = w.row_of(), np.diff(w.first)
+    before = np.concatenate((np.zeros(1, _U), w.hashes))[: len(row)]
+    before[w.first[:-1][n > 0]] = 0
+    pair = mix(mix(before + _U(0xA0761D6478BD642F)) ^ w.hashes)
+    order = np.lexsort((pair, row))
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (pair[order][1:] != pair[order][:-1]) | (row[order][1:] != row[order][:-1])
+    starts = np.flatnonzero(fresh)
+    first = order[starts]
+    times = np.diff(np.append(starts, len(row)))
+    row, pair = row[first], pair[first]
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(pair + mix(times.astype(_U))), dtype=_U)))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(n)))))
+    digest = mix(sums[ends[1:]] - sums[ends[:-1]] + n.astype(_U))
+    word = w.hashes[first]
+    order = np.lexsort((word, row))
+    opens = np.ones(len(row), bool)
+    opens[order[1:]] = (word[order][1:] != word[order][:-1]) | (row[order][1:] != row[order][:-1])
+    return Pairs(row, pair.view(np.int64), before[first].view(np.int64), word.view(np.int64), times, opens, n, digest.view(np.int64))
+
+
+CLASSES = ("toxic", "plain")
+_COUNTS = [f"{c}{x}" for x in ("", "_texts", "_opens") for c in CLASSES]
+
+
+def _counted(marked: DataFrame) -> DataFrame:
+    """``pair``, ``before``, ``word`` and counts by class, for every bigram of the corpus.
+
+    ``toxic`` and ``plain`` count occurrences, ``.._texts`` texts, ``.._opens`` texts in which
+    the bigram is the first with its word.  ``marked`` has ``text`` and ``label``, null where
+    the text counts for no class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 0):
-            w = words(batch.column(0))
-            row = w.row_of()
-            pairs = np.unique(np.stack([row.astype(np.uint64), w.hashes], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
-            label = np.asarray(batch.column(1)).astype(np.int64)[pairs[:, 0].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), pa.array(label)], ["word", "label"])
-
-    seen = sample.select("text", "label").mapInArrow(run, "word long, label long")
-    toxic, total = F.sum("label"), F.count("*")
-    counts = seen.groupBy("word").agg(toxic.alias("a"), (total - toxic).alias("b"))
-    sizes = sample.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).first()
-    if not sizes.a or not sizes.b:
-        return np.zeros(0, np.int64)
-    p, q = F.col("a") / float(sizes.a), F.col("b") / float(sizes.b)
-    pooled = (F.col("a") + F.col("b")) / float(sizes.a + sizes.b)
-    z = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * (1.0 / sizes.a + 1.0 / sizes.b) + 1e-12)
-    best = counts.filter("a + b >= 3").withColumn("z", z).filter(F.col("z") >= TELLING).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
-    return np.sort(np.array([r.word for r in best], np.int64))
-
-
-def _events(w: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The event of each word and the one before it, 0 at the start of a row."""
-    hashes = w.hashes.view(np.int64)
-    event = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        event = np.where(known[at] == hashes, at + 1, 0)
-    before = np.concatenate(([0], event))[: len(event)]
-    before[w.first[:-1][np.diff(w.first) > 0]] = 0
-    return event, before
-
-
-def cells(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """``id``, ``n`` (words), ``cell`` and ``times`` (arrays): the bigrams of each text."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in sliced(batches, 1):
-            w = words(batch.column(1))
-            row, n = w.row_of(), batch.num_rows
-            event, before = _events(w, table)
-            key, times = np.unique(row * (SIZE * SIZE) + before * SIZE + event, return_counts=True)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(key // (SIZE * SIZE), minlength=n)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(w.first)),
-                 pa.ListArray.from_arrays(ends, pa.array((key % (SIZE * SIZE)).astype(np.int32))),
-                 pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))],
-                ["id", "n", "cell", "times"],
-            )
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, cell array<int>, times array<int>")
+            p = _pairs(batch.column(0))
+            label = batch.column(1).fill_null(2).to_numpy(zero_copy_only=False)[p.row]
+            pair, at, back = np.unique(p.pair, return_index=True, return_inverse=True)
+            sums = [
+                np.bincount(back, x * (label == c), minlength=len(pair)).astype(np.int64)
+                for x in (p.times, 1, p.opens) for c in (1, 0)
+            ]
+            columns = [pair, p.before[at], p.word[at], *sums]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "before", "word", *_COUNTS])
+
+    kinds = ", ".join(f"{c} long" for c in ("pair", "before", "word", *_COUNTS))
+    every = marked.select("text", "label").mapInArrow(run, kinds)
+    firsts = [F.max(c).alias(c) for c in ("before", "word")]
+    return every.groupBy("pair").agg(*firsts, *[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _unbounded(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: merged at every size, never broadcast."""
+    return side.hint("merge")
+
+
+def gains(counts: DataFrame) -> DataFrame:
+    """``pair``, ``ratio`` (log P toxic - log P ordinary) and ``gain`` (weighted) from ``_counted``'s table."""
+
+    def by(column: str, short: str) -> DataFrame:
+        sums = [F.sum(c).alias(f"{short}_{c}") for c in _COUNTS]
+        kinds = [F.count(F.when(F.col(c) > 0, 1)).alias(f"{short}_{c}_kinds") for c in CLASSES]
+        return counts.groupBy(column).agg(F.count("*").alias(f"{short}_kinds"), *sums, *kinds)
+
+    word = materialize(by("word", "w").drop("w_toxic_texts", "w_plain_texts"), "words")
+    context = by("before", "u").filter("u_toxic > 0 or u_plain > 0").select("before", *[f"u_{c}{x}" for c in CLASSES for x in ("", "_kinds")])
+    total = word.agg(
+        F.sum(F.col("w_kinds") + 0.5).alias("shared"),
+        *[F.sum(f"w_{c}").alias(c) for c in CLASSES],
+        *[F.count(F.when(F.col(f"w_{c}") > 0, 1)).alias(f"{c}_kinds") for c in CLASSES],
+    ).first()
+    texts = counts.filter("before = 0").agg(*[F.sum(c).alias(c) for c in CLASSES]).first()  # one start each
+    shared = (F.col("w_kinds") + 0.5) / float(total.shared or 1)
+
+    def log_p(c: str) -> Column:
+        base = shared
+        if total[c]:
+            base = (F.greatest(F.col(f"w_{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * total[f"{c}_kinds"] * shared) / float(total[c])
+        seen, kinds = F.col(f"u_{c}"), F.col(f"u_{c}_kinds")
+        own = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * base) / seen
+        return F.log(F.when(seen > 0, own).otherwise(base))
+
+    def squared(a: str, b: str) -> Column:
+        """The square of z of the two shares of texts; without texts of both classes nothing tells."""
+        if not (texts.toxic and texts.plain):
+            return F.lit(0.0)
+        m, n = float(texts.toxic), float(texts.plain)
+        pooled = (F.col(a) + F.col(b)) / (m + n)
+        return F.pow(F.col(a) / m - F.col(b) / n, F.lit(2.0)) / (pooled * (1 - pooled) * (1 / m + 1 / n) + 1e-12)
+
+    z2 = F.greatest(squared("w_toxic_opens", "w_plain_opens"), squared("toxic_texts", "plain_texts"))
+    both = counts.join(_unbounded(word), "word").join(_unbounded(context), "before", "left")
+    ratio = both.select("pair", (log_p("toxic") - log_p("plain")).alias("ratio"), (z2 * z2 / (z2 * z2 + TELLING**4)).alias("weight"))
+    return ratio.select("pair", "ratio", (F.col("ratio") * F.col("weight")).alias("gain"))
 
 
 def kneser_ney(counts: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """log P(w | u) from bigram counts of one class and shared continuation counts of all."""
+    """log P(w | u) of one class as ``gains`` has it, from dense bigram counts of the class and of all texts."""
     kinds = (every > 0).sum(axis=0).astype(float) + 0.5
-    shared = kinds / kinds.sum()
+    base = kinds / kinds.sum()
+    single = counts.sum(axis=0)
+    if single.any():
+        base = (np.maximum(single - DISCOUNT, 0) + DISCOUNT * (single > 0).sum() * base) / single.sum()
     total = counts.sum(axis=1, keepdims=True)
     held = DISCOUNT * (counts > 0).sum(axis=1, keepdims=True)
     own = np.maximum(counts - DISCOUNT, 0)
-    return np.log(np.where(total > 0, (own + held * shared) / np.maximum(total, 1), shared))
+    return np.log(np.where(total > 0, (own + held * base) / np.maximum(total, 1), base))
 
 
 def _features(gain: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -133,28 +188,47 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _gains(rows: DataFrame, gain: np.ndarray, extra: list[str]) -> DataFrame:
-    """``id``, ``n``, the extra columns and ``gain``, the summed log-likelihood difference."""
-    sent = rows.sparkSession.sparkContext.broadcast(gain)
+def _heads(rows: DataFrame) -> DataFrame:
+    """``id``, ``n`` (words) and ``digest`` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = sent.value
-        for batch in batches:
-            cell, times = batch.column(2), batch.column(3)
-            ends = np.asarray(cell.value_lengths())
-            part = value[np.asarray(cell.flatten())] * np.asarray(times.flatten())
-            owner = np.repeat(np.arange(batch.num_rows), ends)
-            total = np.bincount(owner, part, minlength=batch.num_rows).astype(float)
-            columns = [batch.column(0), batch.column(1), *batch.columns[4:], pa.array(total)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", *extra, "gain"])
-
-    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
+        for batch in sliced(batches, 1):
+            p = _pairs(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.n), pa.array(p.digest)], ["id", "n", "digest"])
+
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "n", "cell", "times", *extra).mapInArrow(run, f"id {kind}, n long{kinds}, gain double")
+    return rows.select("id", "text").mapInArrow(run, f"id {kind}, n long, digest long")
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """``digest``, ``pair``, ``times``: the distinct bigrams of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 0):
+            p = _pairs(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(p.digest[p.row]), pa.array(p.pair), pa.array(p.times.astype(np.int32))], ["digest", "pair", "times"])
+
+    return rows.select("text").mapInArrow(run, "digest long, pair long, times int")
+
+
+def _gained(rows: DataFrame, gain: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``digest`` and ``gain``, the summed log-likelihood difference, of each row."""
+    heads = materialize(_heads(rows), "heads")
+    sums = _entries(rows).join(_unbounded(gain.filter("gain <> 0").select("pair", "gain")), "pair").groupBy("digest").agg(F.sum(F.col("gain") * F.col("times")).alias("sum"))
+    copies = heads.groupBy("digest").agg(F.count("*").alias("copies"))  # each of them was summed
+    each = copies.join(_unbounded(sums), "digest", "left").select("digest", F.coalesce(F.col("sum") / F.col("copies"), F.lit(0.0)).alias("gain"))
+    return heads.join(_unbounded(each), "digest")
+
+
+def _score(model: Model) -> Column:
+    n = F.greatest(F.col("n"), F.lit(1))
+    parts = [F.lit(1.0), 20 * F.col("gain") / n, F.col("gain") / F.sqrt(n), F.log1p("n") / 5]
+    z = sum((F.lit(float(w)) * p for w, p in zip(model.curve, parts)), F.lit(0.0))
+    return 1 / (1 + F.exp(-z))
 
 
 def fit(docs: DataFrame, labels: DataFrame, kept_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
-    """The model and the cells of every text of ``docs`` (as ``cells`` gives them).
+    """The model and ``id`` and ``text`` of every row of ``docs``.
 
     ``kept_out``: a condition on column ``id``; where it holds no label is read.  Of the
     other labelled rows a fifth, by hash, fits the curve and the rest is counted.  Labels
@@ -167,66 +241,49 @@ def fit(docs: DataFrame, labels: DataFrame, kept_out: Column, id_col: str = "doc
     one = materialize(
         one.filter(~kept_out).select("id", "label", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0).alias("curve")), "labels"
     )
-    drawn = one.filter("not curve").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
-    sample = rows.join(F.broadcast(drawn), "id").select("text", "label")
-    known = _telling(materialize(sample, "sample"))
-    every = materialize(cells(rows, known), "cells")
-    marked = every.join(one, "id", "left")
-    flat = marked.select("label", "curve", F.explode(F.arrays_zip("cell", "times")).alias("c")).select("label", "curve", "c.*")
-    times = F.col("times").cast("long")
-    counted = ~F.coalesce("curve", F.lit(False))
-    sums = flat.groupBy("cell").agg(
-        F.sum(F.when(counted & (F.col("label") == 1), times)).alias("toxic"),
-        F.sum(F.when(counted & (F.col("label") == 0), times)).alias("plain"),
-        F.sum(times).alias("both"),
-    )
-    grid = {k: np.zeros(SIZE * SIZE) for k in ("toxic", "plain", "both")}
-    for r in sums.toLocalIterator():  # at most SIZE * SIZE rows
-        for k in grid:
-            grid[k][r.cell] = r[k] or 0
-    square = {k: v.reshape(SIZE, SIZE) for k, v in grid.items()}
-    gain = (kneser_ney(square["toxic"], square["both"]) - kneser_ney(square["plain"], square["both"])).reshape(-1)
-    shown = one.filter("curve").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
-    seen = _gains(every.join(F.broadcast(shown), "id"), gain, ["label"]).select("n", "label", "gain").toPandas()
+    marked = rows.join(one.filter("not curve").select("id", "label"), "id", "left")
+    gain = materialize(gains(materialize(_counted(marked), "bigrams")), "gains")
+    shown = one.filter("curve").orderBy(F.xxhash64("id"), "id").limit(CURVE_DOCS)
+    shown = materialize(shown.select("id", "label"), "shown")
+    seen = _gained(materialize(rows.join(F.broadcast(shown), "id", "left_semi"), "curve"), gain)
+    seen = seen.join(F.broadcast(shown), "id").select("n", "label", "gain").toPandas()
     x = _features(seen["gain"].to_numpy(float), seen["n"].to_numpy(float))
-    return Model(known, gain, _logistic(x, seen["label"].to_numpy(float))), every
+    return Model(gain, _logistic(x, seen["label"].to_numpy(float))), rows
 
 
 def score(every: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) for every row of ``cells``' result."""
-    gained = _gains(every, model.gain, [])
-    n = F.greatest(F.col("n"), F.lit(1))
-    parts = [F.lit(1.0), 20 * F.col("gain") / n, F.col("gain") / F.sqrt(n), F.log1p("n") / 5]
-    z = sum((F.lit(float(w)) * p for w, p in zip(model.curve, parts)), F.lit(0.0))
-    return gained.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-z))).alias("score"))
+    """``id_col`` and ``score`` (0 to 1) for every row of ``every`` (``id``, ``text``).
+
+    A bigram that no text of the fit holds says nothing.
+    """
+    return _gained(every, model.gain).select(F.col("id").alias(id_col), _score(model).alias("score"))
 
 
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, all columns kept; one map step.
+    """The rows of ``docs`` that score below ``limit``, all columns kept.
 
     A null text scores as a text of no words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    gained = _gained(docs.select(F.lit(0).alias("id"), text), model.gain)
+    high = gained.filter(_score(model) >= limit).select(F.col("digest").alias("high")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in sliced(batches, place):
-            w = words(batch.column(place))
-            event, before = _events(w, m.known)
-            gain = np.bincount(w.row_of(), m.gain[before * SIZE + event], minlength=batch.num_rows).astype(float)
-            z = _features(gain, np.diff(w.first).astype(float)) @ m.curve
-            yield batch.filter(pa.array(1 / (1 + np.exp(-z)) < limit))
+        for batch in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pairs(batch.column(1)).digest)], ["row", "digest"])
 
-    return docs.mapInArrow(run, docs.schema)
+    held = docs.select(row, text)
+    held = held.mapInArrow(run, StructType([held.schema["row"], StructField("digest", LongType())]))
+    return held.join(_unbounded(high), F.col("digest") == F.col("high"), "left_anti").select("row.*")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, kept_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` for every row of ``docs``, from a model fitted on its labelled rows.
 
-    Null and empty texts score as texts of no words.  Without labels of both classes no
-    word tells anything and all texts of one length score alike.  Repeated rows are scored
-    each; other columns are not read.
+    Null and empty texts score as texts of no words.  Without labels of both classes all
+    texts of one length score nearly alike.  Repeated rows are scored each; other columns are
+    not read.
     """
     model, every = fit(docs, labels, kept_out, id_col, text_col)
     return score(every, model, id_col)

@@ -60,6 +60,40 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(np.exp(toxicity.kneser_ney(counts, counts * 2)).sum(axis=1), 1)
 
 
+def test_gains_cover_every_word(spark):
+    """Words beyond any fixed number, each in few texts, get the gain of the dense models."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 2500, 40)) for _ in range(60)]
+    label = [None if i % 3 == 2 else i % 3 for i in range(60)]
+    marked = spark.createDataFrame(list(zip(texts, label)), "text string, label int")
+    counts = toxicity._counted(marked)
+    got = {r.pair: r.ratio for r in toxicity.gains(counts).collect()}
+    p = toxicity._pairs(pa.array(texts))
+    names = np.unique(np.concatenate((p.before, p.word)))
+    assert len(names) > 1100 and set(got) == set(p.pair.tolist())
+    u, w = np.searchsorted(names, p.before), np.searchsorted(names, p.word)
+    grid = np.zeros((3, len(names), len(names)))
+    for i, a, b, times in zip(p.row, u, w, p.times):
+        grid[2 if label[i] is None else label[i], a, b] += times
+    seen = grid.sum(axis=0)[:, names != 0]  # nothing comes before a start
+    plain, toxic = (toxicity.kneser_ney(grid[c][:, names != 0], seen) for c in (0, 1))
+    column = np.cumsum(names != 0) - 1
+    assert np.allclose([got[k] for k in p.pair.tolist()], (toxic - plain)[u, column[w]])
+
+
+def test_rare_words_tell(spark):
+    """2000 toxic words, each in five of 60 000 texts: more than a fixed list or a sample holds."""
+    ids = spark.range(60_000).withColumnRenamed("id", "doc_id").withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
+    plain = [F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(50))) for i in range(4)]
+    own = F.concat(F.when(F.col("toxic") == 1, "slur").otherwise("w"), F.when(F.col("toxic") == 1, F.pmod(F.floor(F.col("doc_id") / 6), F.lit(2000))).otherwise(F.pmod(F.hash("doc_id"), F.lit(50))))
+    docs = ids.select("doc_id", F.concat_ws(" ", *plain, own).alias("text"))
+    got = toxicity.score_documents(docs, ids, F.pmod(F.hash("id"), F.lit(10)) == 0)
+    held = got.filter(F.pmod(F.hash("doc_id"), F.lit(10)) == 0).collect()
+    assert auc([int(r.doc_id % 6 == 0) for r in held], [r.score for r in held]) > 0.9
+
+
 def test_filtering_equals_scoring(spark, sf_dir):
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model, every = toxicity.fit(documents, labels, F.lit(False))
