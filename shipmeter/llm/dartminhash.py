@@ -11,7 +11,9 @@ agree on a coordinate with a probability equal to their weighted Jaccard similar
 Coordinates are joined in bands.  Each bucket links its members to one of them, so a
 bucket of n texts gives n - 1 candidates and not all pairs; each candidate is then checked
 exactly.  Buckets in which the checked links leave several classes are dealt again, one
-member of each class against another centre, for up to ``ROUNDS`` turns.  Exact copies are one node
+member of each class against another centre, for up to ``ROUNDS`` turns.  What still lies in a
+bucket of several classes is then joined exactly, on the rarest element-units of each
+text, so every similar pair that shares a bucket ends in one class.  Exact copies are one node
 throughout.  Classes are connected components, found by label propagation on tables.
 """
 
@@ -221,6 +223,29 @@ def _checked(edges: DataFrame, units: DataFrame) -> DataFrame:
     return both.filter(F.col("n") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("n"))).select("u", "v")
 
 
+def _finished(sided: DataFrame, units: DataFrame) -> DataFrame:
+    """Candidates (u < v) among the members of buckets that hold several classes (``side``).
+
+    Two sets of a high enough similarity share one of their rarest elements, at places
+    after which enough elements are left in both.  So each pair of different classes that
+    may be similar is met, whatever buckets it shares.
+    """
+    several = sided.groupBy("bucket").agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a < b").select("bucket")
+    still = materialize(sided.join(_unbounded(several), "bucket", "left_semi").select("id", "side").distinct(), "open")
+    every = units.join(_unbounded(still), "id").select("id", "side", F.size("units").alias("n"), F.explode("units").alias("unit"))
+    every = materialize(every, "open_units")
+    often = every.groupBy("unit").agg(F.count("*").alias("freq"))
+    ranked = every.join(_unbounded(often), "unit").groupBy("id", "side", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "unit"))).alias("r"))
+    length = (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).cast("int")
+    rare = ranked.select("id", "side", "n", F.posexplode(F.slice("r", F.lit(1), length)).alias("at", "r"))
+    rare = materialize(rare.filter("r.freq > 1").select(F.col("r.unit").alias("unit"), "id", "side", "n", "at"), "rare")
+    a, b = (rare.select("unit", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "side", "n", "at")]) for x in "ab")
+    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    enough = left >= SIMILARITY / (1 + SIMILARITY) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    met = a.join(_unbounded(b), "unit").filter("a_id < b_id and a_side <> b_side").filter(enough)
+    return met.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``label``, the least id of its component, for every id in ``edges``.
 
@@ -279,7 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = labels.filter("id <> label").select(F.col("label").alias("u"), F.col("id").alias("v")).unionByName(fresh)
         if fresh.isEmpty():
             break
-    labels = components(links.unionByName(shared)).withColumnRenamed("id", "low")
+    sided = crowded.join(components(links), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("side"))
+    rest = materialize(_checked(materialize(_finished(sided, units), "edges"), units), "links")
+    labels = components(links.unionByName(rest).unionByName(shared)).withColumnRenamed("id", "low")
     return first.join(labels, "low", "left").select(
         F.col("id").alias(id_col), F.coalesce("label", "low").alias("class_id")
     )

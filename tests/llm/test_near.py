@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from helpers import docs, nothing, odd
+from pyspark.sql import functions as F
 
 from shipmeter.llm import dartminhash as d
 from shipmeter.llm.lexer import shingles, words
@@ -64,6 +65,28 @@ def test_a_large_group_is_one_class(spark):
     assert sum(r.class_id != want[r.doc_id] for r in got) <= 2
 
 
+def test_pairs_inside_a_crowded_group_meet(spark, monkeypatch):
+    """Similar pairs whose buckets are those of a large group, with a centre like none of them."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(40):
+        own = {k: f"x{i}" for k in rng.sample(range(3, 197), 9)}
+        for j in range(2):
+            copy = [own.get(k, w) for k, w in enumerate(base)]
+            copy[rng.randrange(200)] = f"y{i}_{j}"
+            texts.append(" ".join(copy))
+    plain = d.signatures
+
+    def crowded(df, id_col="doc_id", text_col="text"):
+        return plain(df, id_col, text_col).withColumn("buckets", F.array(F.lit(1).cast("long")))
+
+    monkeypatch.setattr(d, "signatures", crowded)
+    got = {r.doc_id: r.class_id for r in d.near_duplicates(docs(spark, texts)).collect()}
+    want = brute(texts)
+    assert len(set(want)) > 30 and [got[i] for i in range(len(texts))] == want
+
+
 def test_signatures_estimate_weighted_similarity():
     a = " ".join(f"a{i}" for i in range(300))
     b = a.replace("a150 ", "z ").replace("a20 ", "y ")
