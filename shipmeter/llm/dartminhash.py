@@ -33,7 +33,7 @@ from shipmeter.session import materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 10
+BANDS, ROWS = 32, 8
 ROUNDS = 5
 ROWS_AT_ONCE = 128  # rows whose darts are held at once
 

@@ -65,6 +65,10 @@ def test_a_large_group_is_one_class(spark):
     assert sum(r.class_id != want[r.doc_id] for r in got) <= 2
 
 
+def test_few_pairs_at_the_threshold_share_no_bucket():
+    assert (1 - d.SIMILARITY**d.ROWS) ** d.BANDS < 0.003
+
+
 def test_pairs_inside_a_crowded_group_meet(spark, monkeypatch):
     """Similar pairs whose buckets are those of a large group, with a centre like none of them."""
     rng = random.Random(5)
