@@ -108,4 +108,66 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN summed USING (doc_id)"""
 
-ORACLES = {"op2_credential_linking": CREDENTIALS, "op8_positional_index": CONTAMINATION}
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+f AS (
+  SELECT doc_id, part,
+    (len(ws) < 50)::INT
+    + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM w),
+lab AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS tox FROM labels GROUP BY doc_id),
+g AS (
+  SELECT part, mask, coalesce(good, 0) AS good, coalesce(tox, 0) AS tox, count(*) AS n
+  FROM f LEFT JOIN lab USING (doc_id) GROUP BY ALL),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, b)),
+o AS (
+  SELECT l1.c || l2.c || l3.c || l4.c || l5.c AS filter_order FROM l l1, l l2, l l3, l l4, l l5
+  WHERE l1.b | l2.b | l3.b | l4.b | l5.b = 31),
+s AS (
+  SELECT filter_order, step::INT AS step,
+    1 << (instr('ABCDE', substr(filter_order, step::INT, 1)) - 1) AS bit,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', substr(filter_order, i::INT, 1)) - 1))), 0) AS before
+  FROM o, range(1, 6) r(step))
+SELECT p.part, s.filter_order, s.step,
+  coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0 AND good = 1), 0)::BIGINT AS good_lost,
+  coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0 AND tox = 1), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (WHERE mask & bit <> 0), 0)::BIGINT AS shapley
+FROM (SELECT DISTINCT part FROM d) p CROSS JOIN s LEFT JOIN g ON g.part = p.part
+GROUP BY ALL"""
+
+EMBEDDING_LINKS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)
+    AND coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS ok
+  FROM embeddings WHERE vec_id IS NOT NULL),
+e AS (
+  SELECT a.vec_id AS u, b.vec_id AS w
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok
+    AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+und AS (SELECT u AS a, w AS b FROM e UNION ALL SELECT w, u FROM e),
+reach(a, b) AS (SELECT a, b FROM und UNION SELECT r.a, x.b FROM reach r JOIN und x ON r.b = x.a)
+SELECT v.vec_id, coalesce(c.nl, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(r.m, v.vec_id))::BIGINT AS component_id,
+  least(v.vec_id, coalesce(r.m, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS nl FROM und GROUP BY a) c ON c.a = v.vec_id
+LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = v.vec_id"""
+
+ORACLES = {
+    "op2_credential_linking": CREDENTIALS,
+    "op8_positional_index": CONTAMINATION,
+    "op12_metric_range_join": EMBEDDING_LINKS,
+    "op13_packed_filter_audit": FILTER_AUDIT,
+}

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipmeter.llm import dartminhash, decontam, imatch, quality, secretscan, segbpe, surrogates, tokencount, toxicity, ziplang
+from shipmeter.llm import (
+    convrepair, dartminhash, decontam, filteraudit, imatch, metricjoin, quality, secretscan, segbpe, surrogates, tokencount,
+    toxicity, ziplang,
+)
 from shipmeter.llm.oracles import ORACLES as ORACLES
 from shipmeter.session import prepare
 
@@ -126,3 +129,21 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest for every conversation."""
+    return convrepair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every embedding."""
+    return metricjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_packed_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, per source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
