@@ -1,8 +1,8 @@
 """Regressors for merge time and for CI duration, attempts and success.
 
 Settings MLlib does not have: a forest takes no minimum size of a split and no
-depth beyond 30, and boosting takes no limit on leaves.  ``leafwise`` boosting
-therefore asks for 20 rows per leaf instead, which keeps leaves few and large.
+depth beyond 30.  Boosting is second order and, for ``leafwise``, grows best-first
+to a number of leaves (``histboost``); tuning grids still use MLlib's booster.
 
 Training reads a feature table that is written once to the shared folder.  What
 the driver receives is bounded: one row per feature and per vocabulary term.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from shipmeter import KEYS
 from shipmeter.functions.hashing import split_bucket
 from shipmeter.operators import features as feats
+from shipmeter.operators.histboost import BoostConfig, BoostedModel, HistBooster
 from shipmeter.operators.quantiles import percentiles
 from shipmeter.operators.scaling import fitted_scaling, scale_by, with_split
 from shipmeter.operators.textfeatures import (
@@ -68,17 +69,18 @@ class ModelConfig:
     step: float = 0.1
     subsample: float = 0.9
     seed: int = SEED
+    leaves: int | None = None  # leaf-limited, best-first growth
 
 
 PR_DEFAULTS = {
     "random_forest": ModelConfig("random_forest", rounds=200, depth=20, min_leaf=2),
     "gradient_boosting": ModelConfig("gradient_boosting", 200, 8, 1, 0.1, 0.9),
-    "leafwise": ModelConfig("leafwise", 200, 8, 20, 0.1, 1.0),
+    "leafwise": ModelConfig("leafwise", 200, 8, 20, 0.1, 1.0, leaves=62),
 }
 CI_DEFAULTS = {
     "random_forest": ModelConfig("random_forest", rounds=150, depth=15, min_leaf=2),
     "gradient_boosting": ModelConfig("gradient_boosting", 150, 6, 1, 0.1, 0.8),
-    "leafwise": ModelConfig("leafwise", 150, 6, 20, 0.1, 1.0),
+    "leafwise": ModelConfig("leafwise", 150, 6, 20, 0.1, 1.0, leaves=31),
 }
 
 
@@ -88,13 +90,26 @@ def algorithm_name(name: str) -> str:
     return _ALGORITHMS[name]
 
 
-def regressor(config: ModelConfig):
-    """The estimator for a configuration.  Deep trees cache the node of each row and
-    checkpoint it to the shared folder; for shallow ones a walk is cheaper.
+def booster_config(config: ModelConfig) -> BoostConfig:
+    """Second-order boosting, level-wise (``gradient_boosting``: L2 weight 1, hessian 1
+    a side) or best-first to ``leaves`` leaves (``leafwise``: no L2 weight, 20 rows and
+    1e-3 hessian a side)."""
+    if algorithm_name(config.algorithm) == "leafwise":
+        return BoostConfig(config.rounds, config.depth, config.leaves or 31, max(config.min_leaf, 1), 1e-3, 0.0,
+                           step=config.step, subsample=config.subsample, seed=config.seed)
+    return BoostConfig(config.rounds, config.depth, None, max(config.min_leaf, 1), 1.0, 1.0,
+                       step=config.step, subsample=config.subsample, seed=config.seed)
 
-    A forest considers every feature at each split.  Depths over 30 are more than
+
+def regressor(config: ModelConfig, mllib: bool = False):
+    """The estimator for a configuration.  Boosting grows trees from histograms of
+    gradients and hessians (``histboost``).  A forest is MLlib's: deep trees cache the
+    node of each row and checkpoint it to the shared folder; for shallow ones a walk is
+    cheaper.  It considers every feature at each split.  Depths over 30 are more than
     MLlib has and an error.
     """
+    if algorithm_name(config.algorithm) != "random_forest" and not mllib:
+        return HistBooster(booster_config(config))
     if config.depth > 30:
         raise ValueError(f"depth {config.depth} is over 30, the most that is supported")
     common = dict(
@@ -120,7 +135,7 @@ def regressor(config: ModelConfig):
 
 def param_grid(config: ModelConfig, scope: str = "pr") -> tuple[object, list]:
     """The estimator and the full tuning grid of an algorithm."""
-    estimator = regressor(config)
+    estimator = regressor(config, mllib=True)
     grid = ParamGridBuilder()
     if algorithm_name(config.algorithm) == "random_forest":
         grid.addGrid(estimator.numTrees, [100, 200, 300])
@@ -430,6 +445,8 @@ def save(fitted: Fitted, path: str) -> None:
     """Model, feature order with scaling, vocabulary and metrics; nothing else."""
     spark = SparkSession.active()
     fitted.model.write().overwrite().save(f"{path}/model")
+    kind = type(fitted.model).__name__
+    spark.createDataFrame([(kind,)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
     scaling = [(i, n, *fitted.scaling[n]) for i, n in enumerate(fitted.features)]
     spark.createDataFrame(scaling, "position int, feature string, mean double, std double").coalesce(
         1
@@ -449,12 +466,11 @@ def save(fitted: Fitted, path: str) -> None:
 
 def load(spark: SparkSession, path: str, text: TextConfig | None = PR_TEXT) -> Fitted:
     """A saved model.  ``text`` gives the limits its vocabulary was fitted with."""
-    try:
-        model: Model = RandomForestRegressionModel.load(f"{path}/model")
-    except Exception as first:
-        if "GBTRegressionModel" not in str(first):
-            raise
-        model = GBTRegressionModel.load(f"{path}/model")
+    kind = spark.read.parquet(f"{path}/kind").first()["kind"]
+    loaders = {c.__name__: c for c in (RandomForestRegressionModel, GBTRegressionModel, BoostedModel)}
+    if kind not in loaders:
+        raise ValueError(f"unknown model kind {kind!r} at {path}")
+    model: Model = loaders[kind].load(f"{path}/model")
     scaling = spark.read.parquet(f"{path}/features").orderBy("position").collect()
     terms = spark.read.parquet(f"{path}/vocabulary").orderBy("position").collect()
     metrics = spark.read.parquet(f"{path}/metrics").collect()

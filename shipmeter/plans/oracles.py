@@ -1168,3 +1168,35 @@ _oracle(
         ELSE 'CI may require significant fixes' END AS recommendation
     FROM shaped""",
 )
+
+# Second-order boosting: the root split of one tree of depth 1 (L2 weight 1, 20 rows a
+# side) on the line features, each of whose values is its own bin.
+_oracle(
+    "boost_first_split",
+    "",
+    """
+    WITH t AS (
+      SELECT l_extendedprice::DOUBLE / 1000 AS y, l_quantity::DOUBLE AS f0, l_discount::DOUBLE AS f1,
+        l_tax::DOUBLE AS f2, l_linenumber::DOUBLE AS f3 FROM lineitem),
+    g AS (SELECT avg(y) OVER () - y AS g, f0, f1, f2, f3 FROM t),
+    x AS (
+      SELECT 0 AS k, 'l_quantity' AS feature, f0 AS v, g FROM g UNION ALL
+      SELECT 1, 'l_discount', f1, g FROM g UNION ALL
+      SELECT 2, 'l_tax', f2, g FROM g UNION ALL
+      SELECT 3, 'l_linenumber', f3, g FROM g),
+    per AS (SELECT k, feature, v, sum(g) AS sg, count(*) AS n FROM x GROUP BY ALL),
+    cum AS (
+      SELECT k, feature, v,
+        sum(sg) OVER (PARTITION BY k ORDER BY v) AS gl, sum(n) OVER (PARTITION BY k ORDER BY v) AS nl,
+        sum(sg) OVER (PARTITION BY k) AS gt, sum(n) OVER (PARTITION BY k) AS nt,
+        max(v) OVER (PARTITION BY k) AS top
+      FROM per),
+    cand AS (
+      SELECT *, 0.5 * (gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) - gt * gt / (nt + 1)) AS gain
+      FROM cum WHERE v < top AND nl >= 20 AND nt - nl >= 20),
+    best AS (SELECT * FROM cand WHERE gain > 0 ORDER BY gain DESC, k, v LIMIT 1)
+    SELECT 1::BIGINT AS node, feature, v AS threshold, printf('%.8e', gain) AS gain, nt::BIGINT AS n_rows,
+      NULL::DOUBLE AS weight FROM best
+    UNION ALL SELECT 2, NULL, NULL, NULL, nl::BIGINT, round(-gl / (nl + 1), 6) FROM best
+    UNION ALL SELECT 3, NULL, NULL, NULL, (nt - nl)::BIGINT, round(-(gt - gl) / (nt - nl + 1), 6) FROM best""",
+)

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipmeter.functions import scores, times, urls
 from shipmeter.functions.hashing import pr_change_hash
-from shipmeter.operators import ci, features, incremental, models, pulls, scaling, scoring, stats
+from shipmeter.operators import ci, features, histboost, incremental, models, pulls, scaling, scoring, stats
 from shipmeter.operators import textfeatures as tf
 from shipmeter.operators import validation
 from shipmeter.operators.timeline import draft_time
@@ -1029,3 +1030,47 @@ def cv_mae(spark, sf_dir):
         _vectors(spark, sf_dir), models.regressor(models.ModelConfig(rounds=10, depth=5))
     )
     return models.cv_report(spark, maes)
+
+
+# --- boosting from histograms ------------------------------------------------
+
+#: Line features of few distinct values, so each value is a bin of its own.
+LINE_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+
+
+def _first_tree(spark: SparkSession, sf_dir: str, config: histboost.BoostConfig) -> tuple[histboost.BoostedModel, DataFrame]:
+    lines = fixtures.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_extendedprice").cast("double") / 1000).alias("label"), *[F.col(c).cast("double") for c in LINE_FEATURES]
+    )
+    rows = VectorAssembler(inputCols=list(LINE_FEATURES), outputCol="features").transform(lines).select("label", "features")
+    model = histboost.HistBooster(config).fit(rows)
+    return model, model.nodes(spark)
+
+
+@query
+def boost_first_split(spark, sf_dir):
+    """Root split and leaf weights of the first second-order tree on line prices (all rows)."""
+    config = histboost.BoostConfig(rounds=1, depth=1, min_leaf=20, min_child_weight=1.0, l2=1.0)
+    model, nodes = _first_tree(spark, sf_dir, config)
+    names = F.element_at(F.array(*[F.lit(c) for c in LINE_FEATURES]), F.col("feature") + 1)
+    edges = F.array(*[F.array(*[F.lit(float(e)) for e in fe]).cast("array<double>") for fe in model.edges])
+    threshold = F.element_at(F.element_at(edges, F.col("feature") + 1), F.col("bin") + 1)
+    split = F.col("feature").isNotNull()
+    return nodes.select(
+        "node",
+        F.when(split, names).alias("feature"),
+        F.when(split, threshold).alias("threshold"),
+        F.when(split, F.format_string("%.8e", "gain")).alias("gain"),
+        "n_rows",
+        r6("weight"),
+    )
+
+
+@query
+def leafwise_tree_shapes(spark, sf_dir):
+    """Leaves and depth of every tree of the leaf-limited merge-time booster."""
+    model = _merge_model(spark, sf_dir, _LEAFWISE).model
+    nodes = model.nodes(spark).where(F.col("feature").isNull())
+    return nodes.groupBy("tree").agg(
+        F.count("*").alias("n_leaves"), F.max(F.floor(F.log2("node"))).cast("int").alias("depth"), F.sum("n_rows").alias("n_rows")
+    )
