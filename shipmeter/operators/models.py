@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from shipmeter import KEYS
 from shipmeter.functions.hashing import split_bucket
 from shipmeter.operators import features as feats
+from shipmeter.operators.folds import contiguous_folds
 from shipmeter.operators.histboost import BoostConfig, BoostedModel, HistBooster
 from shipmeter.operators.quantiles import percentiles
 from shipmeter.operators.scaling import fitted_scaling, scale_by, with_split
@@ -402,8 +403,9 @@ def cross_validate(vectors: DataFrame, estimator, folds: int = 5) -> list[float]
 
 
 def fold_table(rows: DataFrame, names: list[str], keys=KEYS, folds: int = 5) -> DataFrame:
-    """A written table of ``features``, ``label`` and ``fold`` for tuning and validation."""
-    written = materialize(rows.withColumn("fold", fold_of(*keys, folds=folds)), "fold-features")
+    """A written table of ``features``, ``label`` and ``fold`` for tuning and validation;
+    folds are contiguous in key order, as an unshuffled k-fold split cuts them."""
+    written = materialize(contiguous_folds(rows, list(keys), folds).drop("position"), "fold-features")
     scaling = fitted_scaling(written, names)
     return _vectors(written, names, scaling).select("features", "label", "fold")
 

@@ -1200,3 +1200,19 @@ _oracle(
     UNION ALL SELECT 2, NULL, NULL, NULL, nl::BIGINT, round(-gl / (nl + 1), 6) FROM best
     UNION ALL SELECT 3, NULL, NULL, NULL, (nt - nl)::BIGINT, round(-(gt - gl) / (nt - nl + 1), 6) FROM best""",
 )
+_view(
+    "fold_rows",
+    "prs",
+    """SELECT repository, pr_number, (row_number() OVER (ORDER BY repository, pr_number) - 1)::BIGINT AS position,
+      count(*) OVER () AS n
+    FROM prs WHERE merge_time_hours <= 720""",
+)
+_oracle(
+    "fold_assignment",
+    "fold_rows",
+    """
+    SELECT repository, pr_number, position,
+      (CASE WHEN position < (n % 5) * (n // 5 + 1) THEN position // (n // 5 + 1)
+        ELSE n % 5 + (position - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INTEGER AS fold
+    FROM fold_rows""",
+)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shipmeter.functions import scores, times, urls
 from shipmeter.functions.hashing import pr_change_hash
-from shipmeter.operators import ci, features, histboost, incremental, models, pulls, scaling, scoring, stats
+from shipmeter.operators import ci, features, folds, histboost, incremental, models, pulls, scaling, scoring, stats
 from shipmeter.operators import textfeatures as tf
 from shipmeter.operators import validation
 from shipmeter.operators.timeline import draft_time
@@ -1074,3 +1074,10 @@ def leafwise_tree_shapes(spark, sf_dir):
     return nodes.groupBy("tree").agg(
         F.count("*").alias("n_leaves"), F.max(F.floor(F.log2("node"))).cast("int").alias("depth"), F.sum("n_rows").alias("n_rows")
     )
+
+
+@query
+def fold_assignment(spark, sf_dir):
+    """Position and contiguous fold (of 5) of every training pull request in key order."""
+    rows = features.training_rows(fixtures.pull_requests(spark, sf_dir)).select(*_KEY)
+    return folds.contiguous_folds(rows, list(_KEY), 5)
