@@ -13,9 +13,9 @@ duplicate row), Insert an empty user or assistant row 5 (before any row or at th
 a truncated row that is not deleted adds 5.  Among cheapest scripts the one whose
 initials (D, I, K, R) read ASCII-least is returned.
 
-Spark prepares the rows (damage, order keys) and groups by conversation; the repair of
-one conversation runs in a pandas group.  Conversations are short next to a task's
-memory; the group holds only the rows of one conversation.
+Spark damages the rows, deals them by conversation and sorts them; each task reads its
+rows as one stream and repairs one conversation at a time, so memory holds the rows of
+one conversation, not of a group of them.
 
 Defined cases: null role or text reads as one space, a null conv_id is one
 conversation of its own, a null turn sorts first.  Rows of one turn are ordered by
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -215,20 +216,46 @@ def report(conv_id, turns: list, rows: list[tuple[str, str]]) -> tuple:
     )
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    conv_id = pdf["conv_id"].iloc[0]
-    live = pdf[~pdf["dropped"]]
-    keyed = sorted(
-        zip(live["turn"], live["role"], live["text"], live["copy"]),
-        key=lambda r: (r[0] is not None and not pd.isna(r[0]), 0 if pd.isna(r[0]) else int(r[0]), r[1], r[2], r[3]),
-    )
-    turns = [None if pd.isna(t) else int(t) for t, *_ in keyed]
-    row = report(None if pd.isna(conv_id) else int(conv_id), turns, [(r, t) for _, r, t, _ in keyed])
-    return pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reports of the conversations of one task, whose rows arrive sorted by conversation
+    and order; only the rows of the current conversation are held."""
+    current, turns, rows, out = _NONE, [], [], []
+    for batch in batches:
+        for conv, turn, role, text, dropped in zip(batch["conv_id"], batch["turn"], batch["role"], batch["text"], batch["dropped"]):
+            conv = None if pd.isna(conv) else int(conv)
+            if conv != current:
+                if current is not _NONE:
+                    out.append(report(current, turns, rows))
+                current, turns, rows = conv, [], []
+            if not dropped:
+                turns.append(None if pd.isna(turn) else int(turn))
+                rows.append((role, text))
+        if len(out) >= _BATCH:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+            out = []
+    if current is not _NONE:
+        out.append(report(current, turns, rows))
+    if out:
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+_NONE = object()
+_BATCH = 4096
 
 
 def repair(conversations: DataFrame) -> DataFrame:
     """One row per original conv_id: gaps, first faults, illegal role pairs, the cost and
-    audit of the cheapest repair, and the digest of the repaired conversation."""
+    audit of the cheapest repair, and the digest of the repaired conversation.
+
+    Rows are dealt by conversation and sorted in Spark; each task then reads its rows
+    as one stream, holding one conversation at a time.
+    """
     ship(conversations.sparkSession)
-    return damaged(conversations).groupBy("conv_id").applyInPandas(_group, SCHEMA)
+    rows = damaged(conversations)
+    ordered = rows.repartition("conv_id").sortWithinPartitions(
+        F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "copy"
+    )
+    return ordered.select("conv_id", "turn", "role", "text", "dropped").mapInPandas(_stream, SCHEMA)
