@@ -5,6 +5,9 @@ bounded sketch only proposes cut points close to the wanted ranks; exact counts
 between the cuts, combined in the map tasks, say which interval holds a rank, and
 just the values of that interval are shuffled and sorted.  A poor cut makes an interval longer, never a result wrong.
 
+An interval that holds a rank and more than HELD values is cut again by its own
+percentiles until it holds no more, so no task sorts more than HELD distinct values.
+
 The input is read more than once: pass a scan or a written table, not a join.
 """
 
@@ -15,8 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shipmeter.session import materialize
+
 _ACCURACY = 10_000
 _MARGIN = 2.0 / _ACCURACY
+#: Values that the interval of a rank may hold before it is sorted; larger ones are cut
+#: into CUTS parts by their own percentiles, round after round.
+HELD = 100_000
+CUTS = 1000
 
 
 def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float], by: list[str]) -> DataFrame:
@@ -48,14 +57,16 @@ def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float]
         .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .withColumn("_rank", F.explode(F.array_distinct(ranks)))
         .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_size")))
-        .groupBy(*by, "_i", "_start")
+        .groupBy(*by, "_i", "_start", "_size")
         .agg(F.sort_array(F.collect_list("_rank")).alias("_ranks"))
+        .withColumn("_i", F.col("_i").cast("long"))
     )
     if not by:
         wanted = F.broadcast(wanted)  # one row per cut at most
-    # Only values of the intervals that hold a rank are grouped and sorted.
-    held = placed.join(wanted, [*by, "_i"]).groupBy(*by, "n", "_i", "_start", "_ranks", "_v")
-    counts = held.agg(F.count("*").alias("_c"))
+    held = placed.withColumn("_i", F.col("_i").cast("long")).join(wanted, [*by, "_i"])
+    held, wanted = _narrowed(held, wanted, by)
+    # Only values of the intervals that hold a rank are grouped and sorted, at most HELD of them.
+    counts = held.groupBy(*by, "n", "_i", "_start", "_ranks", "_v").agg(F.count("*").alias("_c"))
     inside = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = counts.withColumn("_upto", F.col("_start") + F.sum("_c").over(inside))
     hit = F.filter(
@@ -64,6 +75,46 @@ def _rank_values(df: DataFrame, value: str, ranks: Column, near: Sequence[float]
     return found.select(*by, "n", F.explode(hit).alias("_rank"), F.col("_v").alias("_value"))
 
 
+def _narrowed(held: DataFrame, wanted: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cut each interval that holds a rank and more than HELD values into CUTS parts by
+    its own percentiles, and keep the parts that hold a rank, until every interval
+    holds at most HELD values or stops shrinking (one value repeated: equal values are
+    counted, not sorted).
+
+    ``held``: the values of the wanted intervals; ``wanted``: ``_i, _start, _size, _ranks``
+    per group.  Interval ids become paths (``3/5/7``), so parts of different rounds
+    never meet.
+    """
+    columns = [*by, "n", "_i", "_v", "_start", "_size", "_ranks", "_done"]
+    wanted = wanted.withColumns({"_i": F.col("_i").cast("string"), "_done": F.col("_size") <= HELD})
+    held = held.drop("_start", "_size", "_ranks").withColumn("_i", F.col("_i").cast("string")).join(wanted, [*by, "_i"])
+    while not wanted.where(~F.col("_done")).isEmpty():
+        keys = [*by, "_i"]
+        active = held.where(~F.col("_done"))
+        fractions = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
+        cuts = active.groupBy(*keys).agg(F.approx_percentile("_v", fractions, F.lit(_ACCURACY)).alias("_cuts"))
+        # Values equal to a cut get a part of their own, so a repeated value is split off.
+        part = F.aggregate(
+            "_cuts", F.lit(0), lambda acc, cut: acc + (cut < F.col("_v")).cast("int") + (cut <= F.col("_v")).cast("int")
+        )
+        sub = active.join(cuts, keys).select(
+            *by, "n", F.col("_i").alias("_parent"), F.concat_ws("/", "_i", part.cast("string")).alias("_i"), "_v", "_start",
+            F.col("_size").alias("_was"), "_ranks",
+        )
+        sub = materialize(sub, "rank-values")
+        earlier = Window.partitionBy(*by, "_parent").orderBy(F.length("_i"), "_i").rowsBetween(Window.unboundedPreceding, -1)
+        counted = sub.groupBy(*by, "_parent", "_i", "_start", "_was", "_ranks").agg(F.count("*").alias("_size"))
+        counted = counted.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        inside = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_size")))
+        parts = counted.select(
+            *by, "_i", "_start", "_size", inside.alias("_ranks"), ((F.col("_size") <= HELD) | (F.col("_size") == F.col("_was"))).alias("_done")
+        ).where(F.size("_ranks") > 0)
+        wanted = materialize(wanted.where("_done").unionByName(parts), "rank-intervals")
+        cut = sub.select(*by, "n", "_i", "_v").join(parts, [*by, "_i"])
+        held = held.where("_done").select(*columns).unionByName(cut.select(*columns))
+    return held.drop("_done"), wanted.drop("_done")
+
+
 def percentiles(df: DataFrame, value: str, wanted: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a column per wanted percentile (a share in 0..1).
 

@@ -5,6 +5,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shipmeter.operators import ci, scaling, stats
 from shipmeter.operators.quantiles import percentiles, upper_median
@@ -109,3 +110,29 @@ def test_split_does_not_depend_on_partitions(spark):
     one = {tuple(r) for r in scaling.with_split(df.repartition(1)).collect()}
     many = {tuple(r) for r in scaling.with_split(df.repartition(9)).collect()}
     assert one == many and 120 < sum(r[2] for r in one) < 280
+
+
+def test_narrowing_keeps_ranks_exact_and_intervals_small(spark, monkeypatch):
+    from shipmeter.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "HELD", 40)
+    monkeypatch.setattr(quantiles, "CUTS", 8)
+    monkeypatch.setattr(quantiles, "_MARGIN", 0.05)  # wide first intervals, so narrowing must run
+    seen = []
+    narrowed = quantiles._narrowed
+
+    def spy(held, wanted, by):
+        held, wanted = narrowed(held, wanted, by)
+        seen.append(held.groupBy(*by, "_i").agg(F.countDistinct("_v").alias("d")).agg(F.max("d")).first()[0])
+        return held, wanted
+
+    monkeypatch.setattr(quantiles, "_narrowed", spy)
+    data = samples()
+    rows = [(g, v) for g, vs in data.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in percentiles(df, "v", WANTED, ["g"]).collect()}
+    for g, vs in data.items():
+        assert np.allclose([got[g][n] for n in WANTED], np.percentile(vs, [p * 100 for p in WANTED.values()])), g
+    whole = percentiles(df.where("g = 'spread'").select("v"), "v", {"p50": 0.5}).first()["p50"]
+    assert whole == pytest.approx(float(np.percentile(data["spread"], 50)))
+    assert seen and max(seen) <= 40
