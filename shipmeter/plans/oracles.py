@@ -1216,3 +1216,6 @@ _oracle(
         ELSE n % 5 + (position - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INTEGER AS fold
     FROM fold_rows""",
 )
+
+# The same rows as store_cycle: a broken load leaves nothing, overlapping loads both count.
+ORACLES["store_commits"] = ORACLES["store_cycle"]

@@ -209,6 +209,35 @@ def store_cycle(spark, sf_dir):
     )
 
 
+@query
+def store_commits(spark, sf_dir):
+    """``store_cycle`` by other loads: one that breaks between its writes, and two that
+    overlap, the earlier committing last.  The store must hold what the two committed."""
+    kept = store.Store(spark, scratch_path(spark, "store"))
+    repos = fixtures.pr_repositories(spark, sf_dir)
+    runs = fixtures.ci_runs(spark, sf_dir).join(repos.select("repository", "pr_number"), list(PR_ID))
+    stored, incoming = _stored_and_incoming(spark, sf_dir)
+    first, second, third = (datetime(2024, 6, d) for d in (1, 2, 3))
+
+    def breaks() -> None:
+        raise _Broken()
+
+    try:
+        kept.upsert(incoming, datetime(2024, 6, 9), runs, between=breaks)
+    except _Broken:
+        pass
+    kept.upsert(stored, first, between=lambda: kept.upsert(incoming.unionByName(incoming), second, runs))
+    dropped = kept.clear("org/building", third)
+    return kept.rows().select(
+        *_KEY, "additions", "_cache_hash", F.coalesce("ci_run_count", F.lit(0)).alias("ci_run_count"),
+        F.lit(dropped).cast("long").alias("dropped"),
+    )
+
+
+class _Broken(Exception):
+    """A load that stops between its two writes."""
+
+
 @query
 def store_runs(spark, sf_dir):
     """CI runs read back from the store."""

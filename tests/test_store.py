@@ -122,3 +122,30 @@ def test_repository_list(spark):
     spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
     got = {r.repository for r in documents.scan_repo_list(spark, path).collect()}
     assert got == {"org/machinery", "org/building"}
+
+
+def test_loads_are_atomic_and_checked(spark):
+    store = Store(spark, fresh())
+    rows = no_ci(prs(spark, [("o/a", 1, "x", 1, DAYS[0]), ("o/a", 2, "y", 2, DAYS[0])]))
+
+    class Broken(Exception):
+        pass
+
+    def breaks():
+        raise Broken()
+
+    runs = spark.createDataFrame(
+        [("o/a", 1, 0, "build", "u", "success", 3.0)],
+        "repository string, pr_number bigint, ordinal int, ci_name string, ci_target_url string, ci_state string, ci_duration_seconds double",
+    )
+    try:
+        store.upsert(rows, DAYS[1], runs, between=breaks)
+    except Broken:
+        pass
+    assert state(store) == {} and store.runs().count() == 0  # its runs were written, never seen
+    later = no_ci(prs(spark, [("o/a", 2, "y", 20, DAYS[0]), ("o/b", 1, "z", 5, DAYS[0])]))
+    store.upsert(rows, DAYS[1], between=lambda: store.upsert(later, DAYS[2]))
+    assert state(store) == {("o/a", 1): 1, ("o/a", 2): 20, ("o/b", 1): 5}
+    assert store._version() == 2 and store.versions().count() == 4
+    store.upsert(later, DAYS[3])
+    assert store._version() == 2  # nothing new: no load
