@@ -14,6 +14,7 @@ from shipmeter import KEYS
 from shipmeter.functions import times
 from shipmeter.functions.hashing import ci_run_text, hex_word
 from shipmeter.functions.urls import RUN_PREFIX, is_ci_run_url, job_url
+from shipmeter.operators.folds import positions
 from shipmeter.operators.quantiles import upper_median
 from shipmeter.schemas import JOB_DOCUMENT
 
@@ -117,16 +118,22 @@ def prs_with_ci(prs: DataFrame, runs: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def ci_parts(runs: DataFrame, keys=KEYS, part_span: int = 1000) -> DataFrame:
-    """Runs as arrays, in parts.
+    """Runs as arrays, in parts of ``part_span`` runs in order, whatever their ordinals.
 
-    Positions within a pull request are distinct integers, so a part holds at
-    most ``part_span`` runs however many the pull request has.
+    A run's place within its pull request comes from its position in the whole table
+    (key ranges, counts per range, offsets) less the position of the PR's first run,
+    so no PR's runs are gathered to be numbered, however many it has.
     """
-    fields = F.struct("ordinal", "ci_name", "ci_target_url", "ci_state", "ci_duration_seconds")
-    part = F.floor(F.col("ordinal") / F.lit(part_span)).cast("long")
+    keys = list(keys)
+    order = ["ordinal", "ci_name", "ci_target_url", "ci_state", "ci_duration_seconds"]
+    fields = F.struct(*order)
+    placed = positions(runs.select(*keys, *order), [*keys, *order])
+    first = placed.groupBy(*keys).agg(F.min("position").alias("_first"))
+    part = F.floor((F.col("position") - F.col("_first")) / F.lit(part_span)).cast("long")
     ordered = F.sort_array(F.collect_list(fields))
     return (
-        runs.groupBy(*keys, part.alias("part"))
+        placed.join(first, keys)
+        .groupBy(*keys, part.alias("part"))
         .agg(ordered.alias("_runs"))
         .select(
             *keys,

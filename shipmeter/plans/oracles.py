@@ -829,8 +829,11 @@ _oracle(
     "pr_times runs",
     f"""SELECT pr_number, {iso('merged_at')}, coalesce(part, -1) AS part, coalesce(n, 0) AS ci_runs, ci_names
         FROM (SELECT pr_number, merged_at FROM pr_times WHERE merged_at IS NOT NULL) FULL JOIN (
-          SELECT pr_number, ordinal // 1000 AS part, count(*) AS n,
-            string_agg(ci_name, ',' ORDER BY ordinal) AS ci_names FROM runs GROUP BY 1, 2)
+          SELECT pr_number, part, count(*) AS n,
+            string_agg(ci_name, ',' ORDER BY ordinal, ci_name, ci_target_url, ci_state, ci_duration_seconds) AS ci_names
+          FROM (SELECT *, (row_number() OVER (PARTITION BY pr_number
+              ORDER BY ordinal, ci_name, ci_target_url, ci_state, ci_duration_seconds) - 1) // 1000 AS part FROM runs)
+          GROUP BY 1, 2)
         USING (pr_number)""",
 )
 _DURATIONS = [r6(f"ci_{k}_duration") for k in ("total", "avg", "max", "min")]

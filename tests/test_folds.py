@@ -30,3 +30,18 @@ def test_no_task_gets_every_row(spark):
     df = spark.range(5000).withColumnRenamed("id", "k").repartition(8)
     plan = folds.positions(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_ci_parts_cut_by_count_whatever_the_ordinals(spark):
+    from shipmeter.operators import ci
+
+    rows = [("o/r", 1, i * 997, f"t{i % 3}", "u", "success", 1.0) for i in range(2500)]  # one hot PR, sparse ordinals
+    rows += [("o/r", 2, 5000, "x", "u", "failure", None), ("o/r", 2, 5000, "a", "u", "failure", None)]
+    runs = spark.createDataFrame(
+        rows, "repository string, pr_number long, ordinal long, ci_name string, ci_target_url string, ci_state string, ci_duration_seconds double"
+    ).repartition(6)
+    got = {(r.pr_number, r.part): r.names for r in ci.ci_parts(runs, part_span=1000).select(
+        "pr_number", "part", F.transform("ci_data", lambda x: x["ci_name"]).alias("names")).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert [len(got[1, p]) for p in range(3)] == [1000, 1000, 500]
+    assert got[1, 0][:4] == ["t0", "t1", "t2", "t0"] and got[2, 0] == ["a", "x"]
