@@ -24,12 +24,13 @@ def fetch_budget(
     limit: int,
     by: str = "repository",
     id_column: str = "pr_number",
+    counted: str = "merged",
 ) -> DataFrame:
     """The candidates a collection run takes, newest update first.
 
     A repository stops once ``max_new`` rows are taken or its stored rows plus
-    the merged rows taken reach ``limit``.  Rows without a merge use up the first
-    budget only.  Both budgets only shrink with position, so counts per hour tell
+    the taken rows that are ``counted`` (merged, by default) reach ``limit``.  Other
+    rows use up the first budget only.  Both budgets only shrink with position, so counts per hour tell
     which hours can matter; the others are dropped before any row is ranked, and
     a repository with very many rows is never sorted in one task.
     """
@@ -38,7 +39,7 @@ def fetch_budget(
     # Rows without an update time come last.
     hour = F.coalesce(F.date_trunc("hour", F.col("updated_at")), F.timestamp_seconds(F.lit(0)))
     rows = candidates.withColumn("_hour", hour)
-    merged = F.when(F.col("merged"), 1).otherwise(0)
+    merged = F.when(F.col(counted), 1).otherwise(0)
     newer = (
         Window.partitionBy(by).orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -78,6 +79,22 @@ def fetch_budget(
     )
 
 
+def needs(listed: DataFrame, stored: DataFrame, stored_runs: DataFrame, keys=KEYS) -> DataFrame:
+    """Listed PRs that need their record, their CI runs or both, with ``need_pr``,
+    ``need_ci`` and ``counted``: a merged PR whose record is fetched, the only kind
+    that uses up the stored-row budget.  One pass over the listing, two semi flags."""
+    keys = list(keys)
+    have_pr = stored.select(*keys).distinct().withColumn("_have_pr", F.lit(True))
+    have_ci = stored_runs.select(*keys).distinct().withColumn("_have_ci", F.lit(True))
+    flagged = listed.join(have_pr, keys, "left").join(have_ci, keys, "left").select(
+        *listed.columns,
+        F.col("_have_pr").isNull().alias("need_pr"),
+        F.col("_have_ci").isNull().alias("need_ci"),
+    )
+    wanted = flagged.where(F.col("need_pr") | F.col("need_ci"))
+    return wanted.withColumn("counted", F.col("need_pr") & F.coalesce(F.col("merged"), F.lit(False)))
+
+
 def first_stored(prs: DataFrame, n: int) -> DataFrame:
     """The ``n`` stored rows with the lowest numbers, which fixes the order of a capped read."""
     return prs.orderBy("pr_number", "repository").limit(n)

@@ -1222,3 +1222,25 @@ _oracle(
 
 # The same rows as store_cycle: a broken load leaves nothing, overlapping loads both count.
 ORACLES["store_commits"] = ORACLES["store_cycle"]
+_oracle(
+    "fetch_budget_both",
+    "humans repos runs pr_times",
+    """
+    SELECT repository, pr_number, position, need_pr, need_ci FROM (
+      SELECT repository, pr_number, need_pr, need_ci, row_number() OVER w AS position,
+        coalesce(sum(CAST(need_pr AND coalesce(merged, false) AS INTEGER))
+          OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS counted_before
+      FROM (
+        SELECT humans.*, have_pr.pr_number IS NULL AS need_pr, have_ci.pr_number IS NULL AS need_ci
+        FROM humans
+        LEFT JOIN (SELECT DISTINCT pr_number FROM repos WHERE pr_number % 3 <> 0) have_pr
+          ON humans.pr_number = have_pr.pr_number
+        LEFT JOIN (SELECT DISTINCT pr_number FROM runs WHERE pr_number % 3 <> 0
+            AND pr_number IN (SELECT pr_number FROM repos WHERE pr_number % 3 <> 0)
+            AND pr_number IN (SELECT pr_number FROM pr_times WHERE merged_at IS NOT NULL)) have_ci
+          ON humans.pr_number = have_ci.pr_number)
+      WHERE need_pr OR need_ci
+      WINDOW w AS (PARTITION BY repository ORDER BY updated_at DESC, pr_number))
+    LEFT JOIN (SELECT repository, count(*) AS stored FROM repos WHERE pr_number % 3 <> 0 GROUP BY 1) USING (repository)
+    WHERE position <= 400 AND coalesce(stored, 0) + counted_before < 2300""",
+)

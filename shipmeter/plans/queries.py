@@ -422,6 +422,22 @@ def fetch_budget(spark, sf_dir):
     return taken.select(*_KEY, "position", "merged")
 
 
+@query
+def fetch_budget_both(spark, sf_dir):
+    """The budget over PRs that need their record, their CI or both: records of two in
+    three PRs are stored, CI only of the stored merged ones."""
+    listed = pulls.human_prs(fixtures.pr_listing(spark, sf_dir))
+    stored = fixtures.pr_repositories(spark, sf_dir).where(F.col("pr_number") % 3 != 0)
+    merged = fixtures.pr_times(spark, sf_dir).where(F.col("merged_at").isNotNull()).select(*PR_ID)
+    stored_runs = fixtures.ci_runs(spark, sf_dir).join(stored.select(*PR_ID), list(PR_ID), "left_semi").join(
+        merged, list(PR_ID), "left_semi"
+    )
+    counts = stored.groupBy("repository").agg(F.count("*").alias("stored"))
+    candidates = materialize(incremental.needs(listed, stored, stored_runs, PR_ID), "candidates")
+    taken = incremental.fetch_budget(candidates, counts, max_new=400, limit=2_300, counted="counted")
+    return taken.select(*_KEY, "position", "need_pr", "need_ci")
+
+
 @query
 def stored_prs_limit(spark, sf_dir):
     return incremental.first_stored(fixtures.pr_repositories(spark, sf_dir), 1000)

@@ -138,3 +138,35 @@ def test_fetch_budget_cuts_rows_before_the_shuffle(spark):
     taken = incremental.fetch_budget(candidates, counts, 100, 1000)
     assert {r.pr_number for r in taken.collect()} == set(range(100))
     assert "WindowGroupLimit [repository#" in taken._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_budget_of_both_needs_against_the_loop(spark, seed):
+    """As the collector's loop: skip PRs needing nothing; only merged PRs whose record is
+    fetched count toward the limit; every PR taken counts toward max_new."""
+    rng = random.Random(seed)
+    listed = [(f"r{rng.randrange(3)}", n, START - dt.timedelta(minutes=rng.randrange(0, 3000)), rng.random() < 0.5) for n in range(300)]
+    have_pr = {n for _, n, _, _ in listed if rng.random() < 0.4}
+    have_ci = {n for n in have_pr if rng.random() < 0.5} | {n for _, n, _, _ in listed if rng.random() < 0.1}
+    stored = {f"r{i}": sum(1 for r, n, _, _ in listed if r == f"r{i}" and n in have_pr) for i in range(3)}
+    max_new, limit = rng.randrange(10, 60), rng.randrange(60, 140)
+    want = set()
+    for repo in stored:
+        count, processed = stored[repo], 0
+        for _, n, _, m in sorted((r for r in listed if r[0] == repo), key=lambda r: (-r[2].timestamp(), r[1])):
+            if count >= limit or processed >= max_new:
+                break
+            need_pr, need_ci = n not in have_pr, n not in have_ci
+            if not need_pr and not need_ci:
+                continue
+            want.add((n, need_pr, need_ci))
+            count += need_pr and m
+            processed += 1
+    df = spark.createDataFrame(listed, "repository string, pr_number bigint, updated_at timestamp, merged boolean")
+    keys = spark.createDataFrame([(n,) for n in have_pr], "pr_number bigint")
+    runs = spark.createDataFrame([(n,) for n in have_ci], "pr_number bigint")
+    counts = spark.createDataFrame(list(stored.items()), "repository string, stored bigint")
+    candidates = incremental.needs(df, keys, runs, ("pr_number",))
+    got = incremental.fetch_budget(candidates, counts, max_new, limit, counted="counted")
+    assert {(r.pr_number, r.need_pr, r.need_ci) for r in got.collect()} == want
+    assert any(not pr and ci for _, pr, ci in want)
