@@ -1244,3 +1244,5 @@ _oracle(
     LEFT JOIN (SELECT repository, count(*) AS stored FROM repos WHERE pr_number % 3 <> 0 GROUP BY 1) USING (repository)
     WHERE position <= 400 AND coalesce(stored, 0) + counted_before < 2300""",
 )
+# The store-to-score path keeps the rows, faults and prediction flags of the batch.
+ORACLES["store_to_scores"] = ORACLES["batch_score_keys"]

@@ -921,6 +921,22 @@ def batch_score_keys(spark, sf_dir):
     )
 
 
+@query
+def store_to_scores(spark, sf_dir):
+    """One path from the store to scores: the merge-time forest fitted on the store's
+    current rows after its loads, saved and loaded again, then a batch scored.  What is
+    certain of it, as in ``batch_score_keys``."""
+    kept, _ = _cycled(spark, sf_dir)
+    fitted = models.fit_merge_time(kept.rows(), _FOREST, min_rows=10, max_fit_rows=FIT_ROWS)
+    path = scratch_path(spark, "store-model")
+    models.save(fitted, path)
+    out = scoring.score_prs(_faulty(spark, sf_dir), models.load(spark, path))
+    return out.select(
+        *_KEY, "error", F.col("predicted_hours").isNull().alias("unpredicted"),
+        F.col("prediction_confidence").isNull().alias("unrated"),
+    )
+
+
 def _pr_url() -> Column:
     return F.concat(F.lit("https://git.example.org/"), "repository", F.lit("/pull/"), "pr_number")
 
