@@ -3,13 +3,15 @@
 Wide packed counters.  Each document's outcome is a 5-bit failure mask (plus its two
 labels), and a mask decides all 600 (order, step) outcomes at once.  A mask maps to one
 big integer whose fields hold every counter of every step; the integers of a part are
-summed and the fields read back.  The field width is taken from the part's row count,
-so no field carries into the next.
+summed and the fields read back.  The field width is taken from the largest part's row
+count, so no field carries into the next.
 
-Spark does the heavy part: the per-row tests, the duplicate test against the smallest
-id of each text table-wide, and a count per (part, mask, labels) that combines in the
-map tasks before any shuffle.  At most 32 x 4 counted rows per part reach the packing
-step, however many documents or how hot a part or a text is.
+All of it runs in Spark: the per-row tests, the duplicate test against the smallest id
+of each text table-wide, a count per (part, mask, labels) that combines in the map
+tasks before any shuffle, and the packing.  The big integer of a mask is held as 63-bit
+limbs of whole fields (a constant table of 128 rows), so the sums per part are sums of
+longs per limb, and shifts and masks cut them back into fields.  At most 32 x 4 counted
+rows per part are packed, however many documents or how hot a part or a text is.
 
 Defined cases: null text is empty; a null source is the part ``""``; words are maximal
 runs without ``[\\x20\\x09-\\x0D]``; a text of no words fails A and passes B.  E fails
@@ -25,7 +27,6 @@ from __future__ import annotations
 import itertools
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,45 +118,81 @@ def outcomes(mask: int, good: int, toxic: int) -> tuple[int, ...]:
     return tuple(fields)
 
 
-def pack(values: tuple[int, ...], width: int) -> int:
-    """One integer whose field i (``width`` bits from bit i * width) holds values[i]."""
-    return int.from_bytes(b"".join(v.to_bytes(width // 8, "little") for v in values), "little")
-
-
-def unpack(total: int, width: int) -> list[int]:
-    raw = total.to_bytes(FIELDS * width // 8, "little")
-    step = width // 8
-    return [int.from_bytes(raw[i : i + step], "little") for i in range(0, len(raw), step)]
+def field_width(rows: int) -> int:
+    """Bits that hold the largest sum a field can reach: 120 per row (shapley)."""
+    return max(1, (len(ORDERS) * rows).bit_length())
 
 
-def field_width(rows: int) -> int:
-    """Whole bytes that hold the largest sum a field can reach: 120 per row (shapley)."""
-    return max(1, (len(ORDERS) * rows).bit_length() + 7 >> 3) * 8
+def limbs(values: tuple[int, ...], width: int) -> list[int]:
+    """The packed integer of ``values`` (field i at bit i * width) as 63-bit limbs, each
+    holding ``63 // width`` whole fields, so sums never carry between limbs."""
+    per = max(1, 63 // width)
+    out = []
+    for start in range(0, len(values), per):
+        out.append(sum(v << (j * width) for j, v in enumerate(values[start : start + per])))
+    return out
 
 
-def tally(counted: pd.DataFrame) -> pd.DataFrame:
-    """All 600 rows of one part from its counted masks, by summing packed integers."""
-    width = field_width(int(counted["n"].sum()))
-    total = sum(int(n) * pack(outcomes(int(m), int(g), int(t)), width) for m, g, t, n in counted[["mask", "good", "toxic", "n"]].itertuples(index=False))
-    values = unpack(total, width)
-    base = len(ORDERS) * STEPS * len(COUNTERS)
-    rows = []
-    for o, order in enumerate(ORDERS):
-        for s, letter in enumerate(order):
-            at = (o * STEPS + s) * len(COUNTERS)
-            f = FILTERS.index(letter)
-            kept, removed, redundant, good, toxic = values[at : at + len(COUNTERS)]
-            rows.append((order, s + 1, kept, removed, redundant, values[base + f], good, toxic, values[base + len(FILTERS) + f]))
-    out = pd.DataFrame(rows, columns=["filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"])
-    out.insert(0, "part", counted["part"].iloc[0])
-    return out.astype({"step": "int32"} | {c: "int64" for c in out.columns[3:]})
+def packed_table(spark, width: int) -> DataFrame:
+    """Every (mask, good, toxic) with the limbs of its outcomes: 128 rows, a constant."""
+    rows = [(m, g, t, limbs(outcomes(m, g, t), width)) for m in range(32) for g in (0, 1) for t in (0, 1)]
+    return spark.createDataFrame(rows, "mask int, good int, toxic int, limbs array<long>")
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per (part, filter_order, step): what the step's filter keeps, removes and
     overlaps with, its share of the good and toxic documents it removes, and its total
-    over all orders (``shapley``)."""
-    ship(docs.sparkSession)
-
-    return masks(docs, labels).groupBy("part").applyInPandas(tally, SCHEMA)
+    over all orders (``shapley``).
 
+    Each counted mask joins its packed integer (as limbs), the limbs times the count are
+    summed per part, and the sums are cut back into fields, all in Spark.
+    """
+    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    counted = materialize(masks(docs, labels), "audit-masks")
+    largest = counted.groupBy("part").agg(F.sum("n").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    width = field_width(int(largest))
+    per = max(1, 63 // width)
+    table = F.broadcast(packed_table(spark, width))
+    summed = (
+        counted.join(table, ["mask", "good", "toxic"])
+        .select("part", "n", F.posexplode("limbs").alias("limb", "value"))
+        .groupBy("part", "limb")
+        .agg(F.sum(F.col("n") * F.col("value")).alias("total"))
+    )
+    fields = summed.select("part", "limb", "total", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("j")).select(
+        "part",
+        (F.col("limb") * per + F.col("j")).alias("field"),
+        F.expr(f"shiftright(total, j * {width}) & {(1 << width) - 1}").alias("value"),
+    )
+    fields = fields.where(F.col("field") < FIELDS)
+    base = len(ORDERS) * STEPS * len(COUNTERS)
+    steps = fields.where(F.col("field") < base).select(
+        "part",
+        (F.col("field") / (STEPS * len(COUNTERS))).cast("int").alias("o"),
+        ((F.col("field") % (STEPS * len(COUNTERS))) / len(COUNTERS)).cast("int").alias("s"),
+        (F.col("field") % len(COUNTERS)).alias("c"),
+        "value",
+    )
+    wide = steps.groupBy("part", "o", "s").agg(
+        *[F.max(F.when(F.col("c") == i, F.col("value"))).alias(name) for i, name in enumerate(COUNTERS)]
+    )
+    per_filter = fields.where(F.col("field") >= base).select(
+        "part",
+        ((F.col("field") - base) % len(FILTERS)).alias("f"),
+        F.when(F.col("field") < base + len(FILTERS), "unique_fails").otherwise("shapley").alias("kind"),
+        "value",
+    )
+    by_filter = per_filter.groupBy("part", "f").agg(
+        F.max(F.when(F.col("kind") == "unique_fails", F.col("value"))).alias("unique_fails"),
+        F.max(F.when(F.col("kind") == "shapley", F.col("value"))).alias("shapley"),
+    )
+    orders = F.broadcast(spark.createDataFrame([(i, o) for i, o in enumerate(ORDERS)], "o int, filter_order string"))
+    letter = F.expr("instr('ABCDE', substring(filter_order, s + 1, 1)) - 1")
+    rows = wide.join(orders, "o").withColumn("f", letter).join(by_filter, ["part", "f"])
+    return rows.select(
+        "part",
+        "filter_order",
+        (F.col("s") + 1).cast("int").alias("step"),
+        *[F.col(c).cast("long").alias(c) for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")],
+    )
