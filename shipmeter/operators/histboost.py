@@ -164,7 +164,7 @@ def grow(rows: DataFrame, tree_index: int, config: BoostConfig, width: int) -> T
     gains: dict[int, tuple[float, int, int, int]] = {}
     open_nodes = [1]
     bins = config.bins
-    for level in range(config.depth + 1):
+    for level in range(max(config.depth, 1)):
         if not open_nodes:
             break
         at = picked.select(_node(Tree(splits, {}), level).alias("node"), "bins", "g", "h").where(F.col("node").isin(open_nodes))
@@ -176,19 +176,31 @@ def grow(rows: DataFrame, tree_index: int, config: BoostConfig, width: int) -> T
         )
         next_open = []
         for node, part in hist.groupby("node"):
+            node = int(node)
             g, h, n = (np.zeros((width, bins + 1)) for _ in range(3))
             f, b = part["f"].to_numpy(), part["b"].to_numpy()
             np.add.at(g, (f, b), part["g"].to_numpy())
             np.add.at(h, (f, b), part["h"].to_numpy())
             np.add.at(n, (f, b), part["n"].to_numpy())
-            totals[int(node)] = (float(g[0].sum()), float(h[0].sum()), int(n[0].sum()))
-            if level == config.depth:
+            if node == 1:
+                totals[1] = (float(g[0].sum()), float(h[0].sum()), int(n[0].sum()))
+            if level >= config.depth:
                 continue
             gain, feat, cut = _best(g, h, n, config)
             if gain > 0:
-                gains[int(node)] = (gain, feat, cut, int(n[0].sum()))
-                splits[int(node)] = (feat, cut, gain, int(n[0].sum()))
-                next_open += [2 * int(node), 2 * int(node) + 1]
+                rows = totals[node][2]
+                gains[node] = (gain, feat, cut, rows)
+                splits[node] = (feat, cut, gain, rows)
+                left = (float(g[feat, : cut + 1].sum()), float(h[feat, : cut + 1].sum()), int(n[feat, : cut + 1].sum()))
+                whole = totals[node]
+                totals[2 * node] = left
+                totals[2 * node + 1] = (whole[0] - left[0], whole[1] - left[1], whole[2] - left[2])
+                for child in (2 * node, 2 * node + 1):
+                    # Only a node that might still split is read again; the others are leaves
+                    # whose sums the parent's histogram already gave.
+                    _, hc, nc = totals[child]
+                    if level + 1 < config.depth and nc >= 2 * config.min_leaf and hc >= 2 * config.min_child_weight:
+                        next_open.append(child)
         open_nodes = next_open
     if config.leaves is not None:
         splits = _best_first(gains, config.leaves)
