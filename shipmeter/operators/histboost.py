@@ -303,6 +303,25 @@ class BoostedModel:
         return cls(BoostConfig(**meta["config"]), meta["base"], meta["edges"], [trees.get(i, Tree({}, {})) for i in range(meta["trees"])])
 
 
+def importances(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """Per feature of a node table: splits, summed gain and each one's share, by gain
+    then name."""
+    table = nodes.sparkSession.createDataFrame(list(enumerate(names)), "feature int, name string")
+    per = nodes.where(F.col("feature").isNotNull()).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain")
+    )
+    whole = per.agg(F.sum("splits").alias("all_splits"), F.sum("gain").alias("all_gain"))
+    return (
+        table.join(per, "feature", "left")
+        .select("name", F.coalesce("splits", F.lit(0)).alias("splits"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
+        .withColumns({
+            "split_share": F.col("splits") / whole.select(F.col("all_splits")).scalar(),
+            "gain_share": F.col("gain") / whole.select(F.col("all_gain")).scalar(),
+        })
+        .orderBy(F.desc("gain"), "name")
+    )
+
+
 class _Dense:
     def __init__(self, values: np.ndarray) -> None:
         self.values = values

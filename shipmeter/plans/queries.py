@@ -1127,6 +1127,14 @@ def boost_first_split(spark, sf_dir):
     )
 
 
+@query
+def boost_importance(spark, sf_dir):
+    """Importance of every feature of the leaf-limited merge-time booster, by split count
+    and by gain, from its node table."""
+    fitted = _merge_model(spark, sf_dir, _LEAFWISE)
+    return histboost.importances(fitted.model.nodes(spark), fitted.features)
+
+
 @query
 def leafwise_tree_shapes(spark, sf_dir):
     """Leaves and depth of every tree of the leaf-limited merge-time booster."""

@@ -170,3 +170,17 @@ def test_leaf_limit_and_save_load(spark, sf_dir, tmp_path):
     a = model.transform(df).select("prediction").toPandas()["prediction"]
     b = again.transform(df).select("prediction").toPandas()["prediction"]
     assert a.tolist() == pytest.approx(b.tolist())
+
+
+def test_importances_from_the_node_table(spark):
+    x, y = data(6, n=300)
+    cfg = hb.BoostConfig(rounds=3, depth=3, min_leaf=3, bins=8)
+    edges = [[float(e) for e in range(7)] for _ in range(x.shape[1])]
+    model = hb.HistBooster(cfg).fit_binned(rows_frame(spark, x, y).drop("pred"), edges)
+    got = {r["name"]: r for r in hb.importances(model.nodes(spark), ["a", "b", "c", "d"]).collect()}
+    splits = [s for t in model.trees for s in t.splits.values()]
+    for i, name in enumerate("abcd"):
+        assert got[name]["splits"] == sum(1 for s in splits if s[0] == i)
+        assert got[name]["gain"] == pytest.approx(sum(s[2] for s in splits if s[0] == i))
+    assert sum(r["gain_share"] for r in got.values()) == pytest.approx(1.0)
+    assert got["a"]["gain_share"] == pytest.approx(model.featureImportances.toArray()[0])
