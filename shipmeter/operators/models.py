@@ -154,8 +154,10 @@ def param_grid(config: ModelConfig, scope: str = "pr") -> tuple[object, list]:
 # --- metrics ----------------------------------------------------------------
 
 
-def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction", by=()) -> DataFrame:
-    """MAE, MSE, RMSE, R2 and MAPE in percent, in one aggregate.
+def regression_metrics(
+    scored: DataFrame, label: str = "label", prediction: str = "prediction", by=(), extra: tuple[Column, ...] = ()
+) -> DataFrame:
+    """MAE, MSE, RMSE, R2 and MAPE in percent, and any ``extra`` aggregates, in one aggregate.
 
     MAPE skips zero labels and is null if there is no other; R2 is null for
     constant labels.
@@ -173,6 +175,7 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
             F.sqrt(F.try_divide(squares, F.count("*"))).alias("rmse"),
             (F.lit(1.0) - F.try_divide(squares, spread)).alias("r2"),
             (F.avg(F.try_divide(F.abs(error), F.abs(F.nullif(y, F.lit(0.0))))) * 100).alias("mape"),
+            *extra,
         )
     )
 
@@ -180,13 +183,13 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
 def ci_metrics(scored: DataFrame, target: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """The same, with minutes for durations and accuracy at one half for success.
     MAPE is infinite when every label is 0."""
-    metrics = regression_metrics(scored, label, prediction).withColumn(
+    same = (F.col(label) > 0.5) == (F.col(prediction) > 0.5)
+    extra = (F.avg(same.cast("int")).alias("accuracy"),) if target == "success" else ()
+    metrics = regression_metrics(scored, label, prediction, extra=extra).withColumn(
         "mape", F.when(F.col("mae").isNotNull(), F.coalesce("mape", F.lit(float("inf"))))
     )
     if target == "duration":
         return metrics.withColumns({"mae_minutes": F.col("mae") * 60, "rmse_minutes": F.col("rmse") * 60})
-    if target == "success":
-        return metrics.withColumn("accuracy", accuracy(scored, label, prediction).scalar())
     return metrics
 
 
