@@ -1018,6 +1018,32 @@ def ci_train_report(spark, sf_dir):
     return _report_rows(spark, fitted, errors, 15)
 
 
+def _ci_clean_models(spark: SparkSession, sf_dir: str) -> tuple[dict[str, models.Fitted], dict[str, str]]:
+    return once(
+        spark,
+        sf_dir,
+        "ci-clean",
+        lambda: models.fit_ci(_rollup(spark, sf_dir), _CI_FOREST, min_rows=10, max_fit_rows=FIT_ROWS, exclude_leaky=True),
+    )
+
+
+@query
+def ci_leakage_report(spark, sf_dir):
+    """The CI models' metrics with the columns their labels come from and without them,
+    side by side, with the number of features of each."""
+    leaky, _ = _ci_models(spark, sf_dir)
+    clean, _ = _ci_clean_models(spark, sf_dir)
+    rows = []
+    for target in models.CI_TARGETS:
+        a, b = leaky.get(target), clean.get(target)
+        names = sorted({*(a.metrics if a else {}), *(b.metrics if b else {})})
+        for name in names:
+            value = [None if m is None or m.metrics.get(name) is None else float(m.metrics[name]) for m in (a, b)]
+            rows.append((target, name, *value))
+        rows.append((target, "features", *[None if m is None else float(len(m.features)) for m in (a, b)]))
+    return spark.createDataFrame(rows, "target string, metric string, with_leaks double, without_leaks double")
+
+
 @query
 def ci_batch_scores(spark, sf_dir):
     fitted, _ = _ci_models(spark, sf_dir)
