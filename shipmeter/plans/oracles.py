@@ -1246,3 +1246,5 @@ _oracle(
 )
 # The store-to-score path keeps the rows, faults and prediction flags of the batch.
 ORACLES["store_to_scores"] = ORACLES["batch_score_keys"]
+# Saved as JSON and read back, the CI summary keeps every value.
+ORACLES["ci_prediction_json"] = ORACLES["ci_prediction_summary"]

@@ -1080,6 +1080,29 @@ def combined_json(spark, sf_dir):
     return spark.read.schema(combined.schema).json(path)
 
 
+def _json_round_trip(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(spark, name)
+    documents.write_json(df, path)
+    return spark.read.schema(df.schema).json(path)
+
+
+@query
+def ci_prediction_json(spark, sf_dir):
+    """The CI prediction summary saved as JSON lines and read back, as the predict command saves it."""
+    out = scoring.summarize_ci(scoring.shape_ci(_rule_predictions(spark, sf_dir)))
+    summary = out.select(
+        *_KEY, "estimated_completion_time", "expected_attempts", "retry_risk", "overall_success_likelihood", "recommendation"
+    )
+    return _json_round_trip(spark, summary, "ci-predictions")
+
+
+@query
+def ci_train_json(spark, sf_dir):
+    """The CI training report (metrics, sizes, top features, errors) saved as JSON lines and read back."""
+    fitted, errors = _ci_models(spark, sf_dir)
+    return _json_round_trip(spark, _report_rows(spark, fitted, errors, 15), "ci-train-report")
+
+
 @query
 def model_summary(spark, sf_dir):
     fitted, _ = _ci_models(spark, sf_dir)
