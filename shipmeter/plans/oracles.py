@@ -1248,3 +1248,25 @@ _oracle(
 ORACLES["store_to_scores"] = ORACLES["batch_score_keys"]
 # Saved as JSON and read back, the CI summary keeps every value.
 ORACLES["ci_prediction_json"] = ORACLES["ci_prediction_summary"]
+_oracle(
+    "combined_rules",
+    "features shaped",
+    f"""
+    SELECT f.repository, f.pr_number, {r6('f.additions / 10', 'predicted_hours')}, {r6('total_duration_hours')},
+      f.prediction_confidence,
+      CASE WHEN total_duration_hours > f.additions / 10 THEN 'CI may take longer than PR merge process'
+        WHEN total_duration_hours IS NOT NULL AND f.additions IS NOT NULL THEN 'CI should complete before PR merge'
+      END AS timeline_comparison,
+      CASE WHEN success_probability > 0.8 THEN 'CI likely to pass with minimal issues'
+        WHEN success_probability > 0.6 THEN 'CI may require some attention'
+        WHEN success_probability > 0.4 THEN 'CI likely to need fixes before passing'
+        WHEN success_probability IS NOT NULL THEN 'CI may require significant fixes' END AS ci_recommendation,
+      CASE WHEN f.prediction_confidence = 'high' THEN 'High confidence in merge time prediction'
+        WHEN f.prediction_confidence = 'medium' THEN 'Medium confidence - monitor for changes'
+        ELSE 'Low confidence - prediction may be inaccurate' END AS pr_advice,
+      NULL::VARCHAR AS error
+    FROM (SELECT repository, pr_number, additions,
+        CASE WHEN {_SHARE} > 0.7 THEN 'high' WHEN {_SHARE} > 0.4 THEN 'medium' ELSE 'low' END AS prediction_confidence
+      FROM features) f
+    LEFT JOIN shaped USING (repository, pr_number)""",
+)

@@ -835,6 +835,27 @@ def _rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def combined_rules(spark, sf_dir):
+    """The PR and CI comparison and advice texts, fed by rule predictions so every text
+    is certain: PR hours are additions / 10, confidence the share of filled features,
+    CI the rule predictions of ``ci_score_shaping``."""
+    table = features.pr_features(fixtures.pull_requests(spark, sf_dir), *_KEY)
+    share = scores.filled_share(list(features.PR_STRUCTURAL))
+    pr_scores = table.select(
+        *_KEY,
+        (F.col("additions") / 10).alias("predicted_hours"),
+        scores.confidence(share).alias("prediction_confidence"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    ci_scores = scoring.summarize_ci(scoring.shape_ci(_rule_predictions(spark, sf_dir)))
+    out = scoring.combine(pr_scores, ci_scores, _KEY)
+    return out.select(
+        *_KEY, r6("predicted_hours"), r6("total_duration_hours"), "prediction_confidence", "timeline_comparison",
+        "ci_recommendation", "pr_advice", "error",
+    )
+
+
 @query
 def ci_score_shaping(spark, sf_dir):
     shaped = scoring.shape_ci(_rule_predictions(spark, sf_dir))
