@@ -1270,3 +1270,5 @@ _oracle(
       FROM features) f
     LEFT JOIN shaped USING (repository, pr_number)""",
 )
+# Keys of the store after store_cycle's loads, and which have CI runs.
+ORACLES["store_keys"] = f"SELECT repository, pr_number, ci_run_count > 0 AS has_ci FROM ({ORACLES['store_cycle']})"

@@ -234,6 +234,15 @@ def store_commits(spark, sf_dir):
     )
 
 
+@query
+def store_keys(spark, sf_dir):
+    """The key sets read through the store after its loads: every current key, and
+    whether it has CI runs."""
+    kept, _ = _cycled(spark, sf_dir)
+    with_ci = kept.pr_keys(with_ci_only=True).withColumn("has_ci", F.lit(True))
+    return kept.pr_keys().join(with_ci, list(_KEY), "left").select(*_KEY, F.coalesce("has_ci", F.lit(False)).alias("has_ci"))
+
+
 class _Broken(Exception):
     """A load that stops between its two writes."""
 
