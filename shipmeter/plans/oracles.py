@@ -1272,3 +1272,7 @@ _oracle(
 )
 # Keys of the store after store_cycle's loads, and which have CI runs.
 ORACLES["store_keys"] = f"SELECT repository, pr_number, ci_run_count > 0 AS has_ci FROM ({ORACLES['store_cycle']})"
+ORACLES["store_first_rows"] = (
+    f"SELECT repository, pr_number, additions, _cache_hash FROM ({ORACLES['store_cycle']}) "
+    "ORDER BY pr_number, repository LIMIT 1000"
+)

@@ -243,6 +243,13 @@ def store_keys(spark, sf_dir):
     return kept.pr_keys().join(with_ci, list(_KEY), "left").select(*_KEY, F.coalesce("has_ci", F.lit(False)).alias("has_ci"))
 
 
+@query
+def store_first_rows(spark, sf_dir):
+    """The 1000 current rows of the store with the lowest numbers, read through the store."""
+    kept, _ = _cycled(spark, sf_dir)
+    return incremental.first_stored(kept.rows(), 1000).select(*_KEY, "additions", "_cache_hash")
+
+
 class _Broken(Exception):
     """A load that stops between its two writes."""
 
