@@ -1276,3 +1276,7 @@ ORACLES["store_first_rows"] = (
     f"SELECT repository, pr_number, additions, _cache_hash FROM ({ORACLES['store_cycle']}) "
     "ORDER BY pr_number, repository LIMIT 1000"
 )
+ORACLES["store_statistics"] = f"""SELECT coalesce(repository, '(all)') AS repository,
+    coalesce(replace(repository, '/', '_'), '(all)') AS store_name,
+    count(*) AS prs, count(DISTINCT repository) AS repositories
+  FROM ({ORACLES['store_cycle']}) GROUP BY ROLLUP (repository)"""

@@ -250,6 +250,19 @@ def store_first_rows(spark, sf_dir):
     return incremental.first_stored(kept.rows(), 1000).select(*_KEY, "additions", "_cache_hash")
 
 
+@query
+def store_statistics(spark, sf_dir):
+    """PRs per repository and in total of the store's current rows after its loads."""
+    kept, _ = _cycled(spark, sf_dir)
+    out = stats.store_stats(kept.rows())
+    return out.select(
+        F.coalesce("repository", F.lit("(all)")).alias("repository"),
+        F.coalesce("store_name", F.lit("(all)")).alias("store_name"),
+        "prs",
+        "repositories",
+    )
+
+
 class _Broken(Exception):
     """A load that stops between its two writes."""
 
