@@ -1280,3 +1280,32 @@ ORACLES["store_statistics"] = f"""SELECT coalesce(repository, '(all)') AS reposi
     coalesce(replace(repository, '/', '_'), '(all)') AS store_name,
     count(*) AS prs, count(DISTINCT repository) AS repositories
   FROM ({ORACLES['store_cycle']}) GROUP BY ROLLUP (repository)"""
+
+_ALL_FEATURES = [*PR_STRUCTURAL, *[f"{PR_TEXT.prefix}{i}" for i in range(PR_TEXT.max_features)]]
+_view(
+    "wide_all",
+    "features prv_tfidf",
+    "SELECT repository, pr_number, "
+    + _list(
+        *[f"any_value({c}) AS {c}" for c in PR_STRUCTURAL],
+        *[
+            f"coalesce(max(CASE WHEN position = {i} THEN tfidf END), 0.0) * {PR_TEXT.weight} AS {PR_TEXT.prefix}{i}"
+            for i in range(PR_TEXT.max_features)
+        ],
+    )
+    + " FROM features LEFT JOIN prv_tfidf USING (pr_number) GROUP BY repository, pr_number",
+)
+_view(
+    "moments_all",
+    "wide_all split",
+    "SELECT "
+    + _list(*[f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _ALL_FEATURES])
+    + " FROM wide_all JOIN split USING (repository, pr_number) WHERE NOT is_test",
+)
+_oracle(
+    "scaled_all_features",
+    "wide_all split moments_all",
+    "SELECT repository, pr_number, is_test, "
+    + _list(*[r6(f"({c} - m_{c}) / s_{c}", c) for c in _ALL_FEATURES])
+    + " FROM wide_all JOIN split USING (repository, pr_number), moments_all",
+)

@@ -754,6 +754,19 @@ def scaled_features(spark, sf_dir):
     return out.select(*_KEY, "is_test", *[r6(n) for n in names])
 
 
+@query
+def scaled_all_features(spark, sf_dir):
+    """All 66 columns, the vocabulary fitted on every row, scaled by the moments of the
+    training rows."""
+    table = materialize(models.pr_table(fixtures.pull_requests(spark, sf_dir), tf.PR_TEXT, label=None), "features")
+    terms = tf.collect_terms(tf.vocabulary(table, tf.PR_TEXT))
+    wide = tf.with_wide_tfidf(table, terms, tf.PR_TEXT).drop("ngrams")
+    names = [*features.PR_STRUCTURAL, *[f"{tf.PR_TEXT.prefix}{i}" for i in range(tf.PR_TEXT.max_features)]]
+    split = materialize(scaling.with_split(wide), "wide-features")
+    out = scaling.scale(split, split.where(~F.col("is_test")), names, *_KEY, "is_test")
+    return out.select(*_KEY, "is_test", *[r6(n) for n in names])
+
+
 # --- text -------------------------------------------------------------------
 
 
