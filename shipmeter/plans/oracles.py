@@ -1309,3 +1309,29 @@ _oracle(
     + _list(*[r6(f"({c} - m_{c}) / s_{c}", c) for c in _ALL_FEATURES])
     + " FROM wide_all JOIN split USING (repository, pr_number), moments_all",
 )
+
+# The CI feature table with its text columns: n-grams of the PR title, the vocabulary
+# fitted on every row.
+_text_views("cit", "rollup_rows", "rollup_rows", "pr_number", "pr_title")
+_vocab_views("citv", "cit_grams", "rollup_rows", "pr_number", CI_TEXT)
+_CI_STRUCTURAL_SQL = [
+    r6(
+        _CI_RATIOS.get(c)
+        or (f"CAST(CAST({c} AS INTEGER) AS DOUBLE)" if c in _KINDS or c == "pr_is_draft" else f"CAST(coalesce({c}, 0) AS DOUBLE)"),
+        c,
+    )
+    for c in CI_STRUCTURAL
+]
+_oracle(
+    "ci_features_text",
+    "rollup_rows citv_tfidf",
+    "SELECT repository, pr_number, "
+    + _list(
+        *[f"any_value({c.rsplit(' AS ', 1)[0]}) AS {c.rsplit(' AS ', 1)[1]}" for c in _CI_STRUCTURAL_SQL],
+        *[
+            r6(f"coalesce(max(CASE WHEN position = {i} THEN tfidf END), 0.0) * {CI_TEXT.weight}", f"{CI_TEXT.prefix}{i}")
+            for i in range(CI_TEXT.max_features)
+        ],
+    )
+    + " FROM rollup_rows LEFT JOIN citv_tfidf USING (pr_number) GROUP BY repository, pr_number",
+)

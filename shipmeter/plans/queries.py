@@ -734,6 +734,17 @@ def ci_features(spark, sf_dir):
     return _feature_output(table, features.CI_STRUCTURAL)
 
 
+@query
+def ci_features_text(spark, sf_dir):
+    """The CI feature table with its 30 text columns; the vocabulary of PR titles is
+    fitted on every row."""
+    table = materialize(models.ci_table(_rollup(spark, sf_dir), tf.CI_TEXT, _KEY), "ci-features")
+    terms = tf.collect_terms(tf.vocabulary(table, tf.CI_TEXT))
+    wide = tf.with_wide_tfidf(table, terms, tf.CI_TEXT)
+    text = [f"{tf.CI_TEXT.prefix}{i}" for i in range(tf.CI_TEXT.max_features)]
+    return _feature_output(wide, [*features.CI_STRUCTURAL, *text])
+
+
 @query
 def ci_targets(spark, sf_dir):
     labels = features.with_ci_labels(_rollup(spark, sf_dir))
