@@ -377,8 +377,9 @@ class HistBooster:
             current = current.withColumn("pred", F.col("pred") + _weight(tree, config.depth, config.step))
             if (t + 1) % REWRITE_EVERY == 0:
                 current = materialize(current, "boost-rows")
-            current = current.cache()  # the levels of the next tree read it; lineage ends at the written table
-            current.count()
+            # The next tree's first pass fills the cache; its other levels read it.  Until
+            # then it is at most REWRITE_EVERY rounds of sums over the last written table.
+            current = current.cache()
             previous.unpersist()
         current.unpersist()
         return BoostedModel(config, base, edges, trees)
