@@ -184,3 +184,28 @@ def test_importances_from_the_node_table(spark):
         assert got[name]["gain"] == pytest.approx(sum(s[2] for s in splits if s[0] == i))
     assert sum(r["gain_share"] for r in got.values()) == pytest.approx(1.0)
     assert got["a"]["gain_share"] == pytest.approx(model.featureImportances.toArray()[0])
+
+
+def test_a_level_is_one_stage_whatever_the_trees_before(spark):
+    x, y = data(7, n=500)
+    cfg = hb.BoostConfig(rounds=12, depth=3, min_leaf=3, bins=8, subsample=0.7)
+    edges = [[float(e) for e in range(7)] for _ in range(x.shape[1])]
+    rows = rows_frame(spark, x, y).drop("pred").coalesce(3)
+    spark.sparkContext.setJobGroup("boost", "boost")
+    model = hb.HistBooster(cfg).fit_binned(rows, edges)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup("boost")
+    # One job a level, the mean label and one checkpoint per ten rounds; no level shuffles.
+    assert len(model.trees) == 12 and len(jobs) <= 12 * cfg.depth + 8
+    assert sum(len(tracker.getJobInfo(j).stageIds) == 1 for j in jobs) >= 12 * cfg.depth
+
+
+def test_blocks_hold_the_rows_and_draws_of_spark(spark):
+    x, y = data(8, n=100)
+    cfg = hb.BoostConfig(subsample=0.4, bins=8, seed=5)
+    rows = rows_frame(spark, x, y, 0.5)
+    got = np.concatenate([np.column_stack([p, l, b, np.unpackbits(d, axis=1)[:, :11]]) for p, l, b, d in hb._blocks(rows, cfg, 3, 11).collect()])
+    draws = [(F.pmod(F.xxhash64("id", F.lit(t), F.lit(5)), F.lit(1 << 20)) < 0.4 * (1 << 20)).cast("double").alias(f"d{t}") for t in range(3, 14)]
+    want = np.array(rows.select("pred", "label", *[F.col("bins")[i].cast("double") for i in range(4)], *draws).collect())
+    assert got.tolist() == want.tolist() and 0 < want[:, 6:].mean() < 1
