@@ -146,3 +146,29 @@ def test_stop_words_are_sparks_own_without_contractions(spark):
 
     own = {w for w in StopWordsRemover.loadDefaultStopWords("english") if "'" not in w}
     assert set(ENGLISH_STOP_WORDS) == own
+
+
+def test_vocabulary_counts_only_pairs_that_can_be_terms(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from shipmeter.operators import textfeatures as tf
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.08)), 200)}" for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    config = tf.TextConfig(max_features=12, min_df=3, max_df=0.6, weight=1.0, prefix="x", stop_words=())
+    grams = tf.with_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), "text", config)
+    counted, frames = tf._counted, []
+    monkeypatch.setattr(tf, "_counted", lambda *a: frames.append(counted(*a)) or frames[-1])
+    got = [(r.term, r.df, r.term_count) for r in tf.vocabulary(grams, config).orderBy("position").collect()]
+
+    df, count = Counter(), Counter()
+    for t in texts:
+        words = t.split()
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        count.update(terms)
+        df.update(set(terms))
+    kept = [t for t in count if 3 <= df[t] <= 0.6 * len(texts)]
+    best = sorted(sorted(kept, key=lambda t: (-count[t], t))[:12])
+    assert got == [(t, df[t], count[t]) for t in best]
+    assert frames[1].count() < sum(" " in t for t in count) / 4  # the other pairs are never shuffled
