@@ -56,6 +56,28 @@ def test_saved_models_score_alike(spark, prs, forest):
     assert again.metrics["mae"] == forest.metrics["mae"]
 
 
+def test_blocks_of_rows_score_as_the_model_does(spark, prs, forest):
+    assert len(forest.forest.roots) == SMALL.rounds
+    wide = forest.wide(models.pr_table(prs, tf.PR_TEXT, label=None))
+    vectors = models._vectors(wide, forest.features, forest.scaling)
+    plain = forest.model.transform(vectors).select("pr_number", F.col("prediction").alias("plain"))
+    both = forest.score(wide).select("pr_number", "prediction").join(plain, "pr_number")
+    assert both.where(F.col("prediction") == F.col("plain")).count() == prs.count() > 0
+    assert not forest.score(wide).schema["prediction"].nullable
+
+
+def test_a_scored_feature_cannot_be_missing(spark, prs, forest):
+    wide = forest.wide(models.pr_table(prs, tf.PR_TEXT, label=None))
+    with pytest.raises(Exception, match="cannot be null or NaN"):
+        forest.score(wide.withColumn("additions", F.lit(None).cast("double"))).select("prediction").collect()
+
+
+def test_a_forest_of_single_leaves(spark):
+    rows = spark.createDataFrame([(i, 1.0, float(i)) for i in range(60)], "id long, label double, x double")
+    fitted = models.fit(rows, ["x"], SMALL, None, keys=("id",))
+    assert {r.prediction for r in fitted.score(rows).collect()} == {1.0}
+
+
 def test_importance_is_ranked(spark, forest):
     rows = forest.importance(spark, 10).collect()
     assert len(rows) == 10 and [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
