@@ -136,3 +136,35 @@ def test_narrowing_keeps_ranks_exact_and_intervals_small(spark, monkeypatch):
     whole = percentiles(df.where("g = 'spread'").select("v"), "v", {"p50": 0.5}).first()["p50"]
     assert whole == pytest.approx(float(np.percentile(data["spread"], 50)))
     assert seen and max(seen) <= 40
+
+
+def test_repeated_values_are_counted_not_cut(spark, monkeypatch):
+    from shipmeter.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "HELD", 40)
+    written, write = [], quantiles.materialize
+
+    def spy(df, name):
+        table = write(df, name)
+        written.append((name, table))
+        return table
+
+    monkeypatch.setattr(quantiles, "materialize", spy)
+    rows = [("a", float(i % 7)) for i in range(3000)] + [("b", 2.0)] * 1000 + [("b", float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: r.p50 for r in percentiles(df, "v", {"p50": 0.5}, ["g"]).collect()}
+    assert got == {g: float(np.median([v for h, v in rows if h == g])) for g in "ab"}
+    # intervals of far more than 40 rows, of fewer distinct values: one row a value, and no round of cuts
+    assert "rank-cut" not in [name for name, _ in written]
+    assert all(table.count() <= 40 for name, table in written if name == "rank-values")
+
+
+def test_parts_of_sorted_cuts(spark):
+    from shipmeter.operators.quantiles import _BLOCK, _part
+
+    cuts = [float(2 * i) for i in range(3 * _BLOCK + 5)]
+    ends = cuts[_BLOCK - 1 :: _BLOCK]
+    values = [v / 2 for v in range(-3, 4 * len(cuts) + 3)]
+    df = spark.createDataFrame([(v, cuts, ends) for v in values], "v double, c array<double>, e array<double>")
+    got = [r.p for r in df.select("v", _part(F.col("v"), F.col("c"), F.col("e")).alias("p")).orderBy("v").collect()]
+    assert got == [sum(c < v for c in cuts) + sum(c <= v for c in cuts) for v in values]
