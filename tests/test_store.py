@@ -149,3 +149,17 @@ def test_loads_are_atomic_and_checked(spark):
     assert store._version() == 2 and store.versions().count() == 4
     store.upsert(later, DAYS[3])
     assert store._version() == 2  # nothing new: no load
+
+
+def test_loads_build_their_records_once(spark, sf_dir):
+    from shipmeter.plans import queries
+
+    lazy, lazy_in = queries._stored_and_incoming(spark, sf_dir)
+    once, once_in = queries._stored_and_incoming(spark, sf_dir, write=True)
+    for a, b in ((lazy, once), (lazy_in, once_in)):
+        b = b.select(*a.columns)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    # a load reads the written table; no join or scan of the given tables is left in its plan
+    for df in (once, once_in):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
