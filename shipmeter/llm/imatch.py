@@ -175,17 +175,22 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = _keyed(docs, id_col, text_col)
     words = materialize(lexicon(rows.select("text")), "lexicon")
     order = materialize(following(rows.select("id", "key", F.length("text").alias("n"))), "order")
-    # One text of each (id, key), dealt by them once for both joins.
-    one = Window.partitionBy("id", "key").orderBy(F.lit(0))
-    texts = rows.withColumn("nth", F.row_number().over(one)).filter("nth = 1").drop("nth")
-    after = order.select(F.col("id").alias("of_id"), F.col("key").alias("of_key"), (F.col("n") / 3).cast("long").cast("int").alias("cut"), "next_id", "next_key")
-    patch = texts.join(after, F.col("id").eqNullSafe(F.col("next_id")) & (F.col("key") == F.col("next_key"))).select(
-        "of_id", "of_key", "cut", "next_id", "next_key", F.substring("text", F.lit(1), F.col("cut")).alias("patch")
+    # One text of each (id, key), dealt by them once for both joins.  A struct of a null id
+    # equals another, so the joins hash what the window hashes and no text is dealt again.
+    texts = rows.select(F.struct("id").alias("own"), "key", "text")
+    one = Window.partitionBy("own", "key").orderBy(F.lit(0))
+    texts = texts.withColumn("nth", F.row_number().over(one)).filter("nth = 1").drop("nth")
+    after = order.select(
+        F.struct("id").alias("of"), F.col("key").alias("of_key"), (F.col("n") / 3).cast("long").cast("int").alias("cut"),
+        F.struct(F.col("next_id").alias("id")).alias("next"), "next_key",
+    )
+    patch = texts.join(after, (F.col("own") == F.col("next")) & (F.col("key") == F.col("next_key"))).select(
+        "of", "of_key", "cut", "next", "next_key", F.substring("text", F.lit(1), F.col("cut")).alias("patch")
     )
-    both = texts.join(patch, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")))
+    both = texts.join(patch, (F.col("own") == F.col("of")) & (F.col("key") == F.col("of_key")))
     n = F.length("text").cast("long")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.col("cut")).cast("int")), "patch")
-    sides = both.select("id", "key", n.alias("n_chars"), "next_id", "next_key", "text", edited.alias("edited"))
+    sides = both.select("own.id", "key", n.alias("n_chars"), F.col("next.id").alias("next_id"), "next_key", "text", edited.alias("edited"))
     sides = sides.withColumn("edited_sha256", F.sha2("edited", 256))
     keep = ["id", "key", "n_chars", "next_id", "next_key", "edited_sha256"]
     made = materialize(_printed(sides, {"text": "fingerprint", "edited": "edited_fingerprint"}, keep, words), "prints")

@@ -151,6 +151,27 @@ def test_following_crosses_ranges(spark):
     assert got == {i: i - 1 for i in range(1, 101)} | {0: None, None: 100}
 
 
+def test_edit_test_deals_texts_once(spark, monkeypatch):
+    plans, write = {}, imatch.materialize
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(imatch, "materialize", spy)
+    rows = [(i, f"common w{i % 5} x{i}") for i in range(40)] + [(None, "no id"), (None, "none again"), (7, "common seven twice")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = imatch.edit_test(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
+    # the joins hash the same columns as the window that drops repeats, so its exchange serves them
+    dealt = [line.split("Exchange ")[1] for line in plans["prints"].splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not any("isnull(" in line or "coalesce(" in line for line in dealt)
+
+
 def test_imatch_edge_rows(spark):
     got = imatch.edit_test(odd(spark)).collect()
     assert len(got) == len(ODD) - 1  # one row per distinct id and text
