@@ -105,6 +105,18 @@ def test_scaled_training_columns_have_unit_variance(spark):
     assert (out.b == 0).all()
 
 
+def test_rounded_scale_equals_rounding_afterwards(spark):
+    rows = [(0.0, 1), (-0.0, 2), (None, 3), (float("nan"), 4), (2.5, 5), (-1e-9, 6)]
+    df = spark.createDataFrame(rows, "a double, k int")
+    for fitted in ({"a": (0.3, 0.7)}, {"a": (0.0, 1.0)}):
+        late = df.select("k", *scaling.scale_by(fitted)).select("k", F.round("a", 6).alias("a"))
+        early = df.select("k", *scaling.scale_by(fitted, 6))
+        assert repr(sorted(early.collect())) == repr(sorted(late.collect()))
+        # what 0 becomes is a number in the plan: only the other rows are rounded
+        plan = early._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("round(") == 1
+
+
 def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(1000).selectExpr("'o/r' AS repository", "id AS pr_number")
     one = {tuple(r) for r in scaling.with_split(df.repartition(1)).collect()}
