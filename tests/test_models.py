@@ -156,3 +156,15 @@ def test_tfidf_rows_have_unit_length(spark, sf_dir):
     assert norms.where(F.abs(F.col("n") - 1) > 1e-9).count() == 0
     wide = tf.with_wide_tfidf(grams, terms, tf.PR_TEXT)
     assert wide.count() == grams.count()
+
+
+def test_fit_rows_are_cut_before_whole_rows_are_read(spark):
+    rows = [("o/r" if i % 3 else None, i // 2, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "repository string, pr_number bigint, x double").repartition(4)
+    keys = ["repository", "pr_number"]
+    got = models.least_by_hash(df, 201, keys)
+    want = df.orderBy(F.xxhash64(*keys), *keys).limit(201)
+    assert [r[:2] for r in got.collect()] == [r[:2] for r in want.collect()]
+    assert models.least_by_hash(df.where("false"), 5, keys).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "xxhash64(" in line and "<=" in line for line in plan.splitlines())
