@@ -83,6 +83,62 @@ def test_gains_cover_every_word(spark):
     assert np.allclose([got[k] for k in p.pair.tolist()], (toxic - plain)[u, column[w]])
 
 
+def some_texts(seed, n, length, names):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{k}" for k in rng.zipf(1.3, length) % names) for _ in range(n)]
+
+
+def test_bigrams_are_dealt_in_few_bytes(spark):
+    texts = some_texts(4, 60, 4000, 20_000)
+    marked = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, label int").coalesce(1)
+    bigrams = len({(a, b) for t in texts for a, b in zip(["", *t.split()], t.split())})
+    for texts_too, most in ((False, 8), (True, 12)):
+        blocks = toxicity._counted(marked, texts=texts_too)
+        size = sum(len(v) for r in blocks.collect() for v in r if isinstance(v, (bytes, bytearray)))
+        assert bigrams > 60_000 and size < most * bigrams
+
+
+def test_texts_sum_their_gains(spark):
+    """Also copies in other partitions, texts without words and texts that the fit did not see."""
+    import pyarrow as pa
+
+    texts = some_texts(5, 80, 60, 900) + [None, "", "?", "solo"]
+    texts += texts[:30]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(0, 100, 2)], "doc_id long, toxic int")
+    model, every = toxicity.fit(docs, labels, F.lit(False))
+    gain = {r.pair: r.gain for r in toxicity.gains(model.counts, model.buckets).collect()}
+    assert sum(g != 0 for g in gain.values()) > 500
+    other = some_texts(6, 10, 40, 900) + ["solo solo", "never seen"]
+    seen = every.unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(other + other[:3])], "id long, text string"))
+    got = {r.id: r for r in toxicity._gained(seen, model).collect()}
+    assert len(got) == len(texts) + len(other) + 3
+    for i, t in [*rows, *((1000 + i, t) for i, t in enumerate(other + other[:3]))]:
+        p = toxicity._pairs(pa.array([t], pa.string()))
+        assert got[i].n == p.times.sum()
+        assert np.isclose(got[i].gain, sum(gain.get(k, 0.0) * n for k, n in zip(p.pair.tolist(), p.times.tolist())))
+
+
+def test_folded_buckets_sum_alike(spark):
+    texts = some_texts(8, 40, 80, 500)
+    marked = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, label int").repartition(3)
+    contexts = toxicity._contexts(toxicity._counted(marked, 12), 12).cache()
+    one, four = (toxicity._sums(marked, contexts, 12, fold).collect() for fold in (1, 4))
+    assert len(one) == len(texts) and any(r.gain for r in one)
+    assert {r.digest: round(r.gain, 9) for r in one} == {r.digest: round(r.gain, 9) for r in four}
+
+
+def test_few_bits_tell_hashes_apart():
+    rng = np.random.default_rng(7)
+    hashes = np.unique(rng.integers(0, 2**64, 100_000, np.uint64))
+    bits = toxicity._bits(hashes)
+    cut = toxicity._unpack_hashes(toxicity._pack_hashes(hashes, bits), bits)
+    assert 32 < bits < 64 and len(np.unique(cut)) == len(hashes)
+    assert len(np.unique(hashes >> np.uint64(65 - bits))) < len(hashes)
+    assert toxicity._bits(hashes[:1]) == toxicity._bits(hashes[:0]) == 32
+
+
 def test_rare_words_tell(spark):
     """2000 toxic words, each in five of 60 000 texts: more than a fixed list or a sample holds."""
     ids = spark.range(60_000).withColumnRenamed("id", "doc_id").withColumn("toxic", (F.col("doc_id") % 6 == 0).cast("int"))
